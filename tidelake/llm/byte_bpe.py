@@ -13,6 +13,7 @@ side ends, encodes what lies between anew, and keeps the tokens outside, which a
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,6 +96,12 @@ class TreeCodec:
         return self.decode(ids[:m]) + self.decode(ids[m:])
 
 
+@functools.lru_cache(maxsize=4)
+def tree_codec(path: str, pattern: str, leaf: int = LEAF) -> TreeCodec:
+    """One codec for all tasks of a worker process."""
+    return TreeCodec(path, pattern, leaf)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """(id, ids binary): the ids of every whole text as little-endian unsigned 32-bit integers.
 
@@ -104,7 +111,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TreeCodec(path, pattern, leaf)
+        codec = tree_codec(path, pattern, leaf)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -120,7 +127,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids_col: str =
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TreeCodec(path, pattern)
+        codec = tree_codec(path, pattern)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import byte_bpe, token_counts, token_files, url_rules
+from tidelake.llm import byte_bpe, line_dedup, metric_join, mixing, ngram_join, quality, token_counts, token_files, toxicity, url_rules
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -36,14 +36,45 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of all documents by a model that never reads labels of fold 2."""
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, labels))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "removed_lines", "removed_words", "removed_runs", "text")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -53,7 +84,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op7_url_rules, op9_token_files, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join,
+        op2_mixing,
+        op3_byte_bpe,
+        op4_metric_join,
+        op5_quality_rules,
+        op6_toxicity,
+        op7_url_rules,
+        op8_line_dedup,
+        op9_token_files,
+        op10_token_counts,
+    )
+}
 
 ORACLES = {
     "op7_url_rules": r"""

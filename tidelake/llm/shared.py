@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,65 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Memo:
+    """A bounded memo in two generations: what is asked for again stays, the rest goes when the young generation is full. most: entries of both;
+    keys longer than keep_bytes are not kept."""
+
+    def __init__(self, most: int, keep_bytes: int):
+        self.half, self.keep_bytes, self.young, self.old = most // 2, keep_bytes, {}, {}
+
+    def get(self, keys: list[bytes], make: Callable[[list[bytes]], list]) -> list:
+        """The value of each key; make gives those of the keys that are not here. keys are distinct."""
+        out = list(map(self.young.get, keys))
+        holes = [i for i, x in enumerate(out) if x is None]
+        if not holes:
+            return out
+        if len(self.young) + len(holes) > self.half:
+            self.old, self.young = self.young, {}
+        found = list(map(self.old.get, map(keys.__getitem__, holes)))
+        new = [i for i, x in zip(holes, found, strict=True) if x is None]
+        made = iter(make([keys[i] for i in new]))
+        for i, x in zip(holes, found, strict=True):
+            out[i] = next(made) if x is None else x
+        most = self.keep_bytes
+        self.young.update((keys[i], out[i]) for i in holes if len(keys[i]) <= most)
+        return out
+
+
+def pair_blocks(members: DataFrame, group: list[str], key: str, block: int) -> DataFrame:
+    """Deals the rows of each group to pairs of blocks, so that every two rows of a group meet in exactly one (group, lo, hi).
+
+    A group of m rows has ceil(m / block) blocks, by a hash of the key; each row goes to as many pairs as there are blocks. side tells the
+    two blocks of a pair apart; it is -1 where the pair is a block with itself.
+    """
+    names = {c: f"_g{i}" for i, c in enumerate(group)}
+    sizes = members.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    joined = members.join(sizes, same).drop(*names.values())
+    own = joined.withColumn("_own", F.pmod(F.xxhash64(key), F.col("_nb")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    pairs = own.withColumn("lo", F.least("_own", "_other")).withColumn("hi", F.greatest("_own", "_other"))
+    return pairs.withColumn("side", F.when(F.col("lo") == F.col("hi"), -1).otherwise(F.col("_own"))).drop("_nb", "_own", "_other")
+
+
+def local_components(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix the smallest id that its links reach."""
+    root = ids.copy()
+    neighbours = [np.flatnonzero(row) for row in linked]
+    todo = np.argsort(ids, kind="stable")
+    done = np.zeros(len(ids), bool)
+    for start in todo:
+        if done[start]:
+            continue
+        done[start], stack = True, [start]
+        while stack:
+            near = neighbours[stack.pop()]
+            near = near[~done[near]]
+            done[near] = True
+            root[near] = ids[start]
+            stack.extend(near.tolist())
+    return root
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the smallest node that links reach.
 

@@ -13,13 +13,18 @@ stretch's own prefixes, which the same memo holds. No document is encoded a seco
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tidelake.llm.shared import Memo
+
 #: Stretches of a document: what stands between ASCII white space.
 STRETCH = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -27,20 +32,22 @@ STRETCH = re.compile(rb"[^\x20\x09-\x0D]+")
 class PrefixCounter:
     """Exact prefix counts of texts. memo: most distinct stretches that are kept; longer ones than keep_bytes are counted afresh."""
 
-    def __init__(self, path: str, memo: int = 300_000, keep_bytes: int = 48):
-        self.memo, self.keep_bytes, self.counts = memo, keep_bytes, {}
+    def __init__(self, path: str, memo: int = 500_000, keep_bytes: int = 40):
+        self.memo = Memo(memo, keep_bytes)
         self.prefixes: dict[bytes, list[int]] = {}
         if path.endswith(".model"):
             import sentencepiece
 
             self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.tokenizer = None
+            self.tokenizer = self.border = None
         else:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
+            alone = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("0", "a 0 b", "a", "b")]
+            self.border = alone[0][0] if len(alone[0]) == 1 and alone[1] == alone[2] + alone[0] + alone[3] else None
 
     def library(self, texts: list[str]) -> list[int]:
         """The counts as the library gives them."""
@@ -48,25 +55,36 @@ class PrefixCounter:
             return [len(x) for x in self.pieces.encode(texts, num_threads=1)]
         return [len(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def fresh(self, stretches: list[bytes]) -> list[int]:
+        """The counts of stretches without ASCII white space, many in one call: a lone digit between them is one token, and parts them."""
+        texts = [w.decode() for w in stretches]
+        plain = [i for i, t in enumerate(texts) if self.border is not None and "0" not in t]
+        found = [0] * len(texts)
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            (x,) = self.tokenizer.encode_batch_fast([" 0 ".join([texts[i] for i in part])], add_special_tokens=False)
+            ids = np.array(x.ids)
+            at = np.concatenate([[-1], np.flatnonzero(ids == self.border), [len(ids)]])
+            for i, n in zip(part, (np.diff(at) - 1).tolist(), strict=True):
+                found[i] = n
+        seen = set(plain)
+        rest = [i for i in range(len(texts)) if i not in seen]
+        for i, n in zip(rest, self.library([texts[i] for i in rest]), strict=True):
+            found[i] = n
+        return found
+
     def deltas(self, datas: list[bytes]) -> list[np.ndarray]:
         """For each text in UTF-8: c(w_1), c(w_2), ... A sentencepiece text is one stretch, as its pieces depend on white space."""
         if self.tokenizer is None:
             return [np.array([n], np.int64) for n in self.library([d.decode() for d in datas])]
-        split = [d.split() for d in datas]
-        if len(self.counts) > self.memo:
-            self.counts.clear()
-        new = set().union(*split) - self.counts.keys() if split else set()
-        fresh = {}
-        for part in _blocks(list(new), 4096):
-            fresh |= zip(part, self.library([w.decode() for w in part]), strict=True)
-        short = {w: n for w, n in fresh.items() if len(w) <= self.keep_bytes}
-        self.counts |= short
-        if len(short) == len(fresh):
-            get = self.counts.__getitem__
-        else:
-            both = self.counts
-            get = lambda w: both[w] if w in both else fresh[w]
-        return [np.fromiter(map(get, words), np.int64, len(words)) for words in split]
+        cut = pc.ascii_split_whitespace(pa.array([d.decode() for d in datas], pa.large_string()))
+        words = cut.flatten().cast(pa.large_binary()).dictionary_encode()
+        names = words.dictionary.to_pylist()
+        got = self.memo.get(names, self.fresh)
+        laid = words.indices.to_numpy(zero_copy_only=False)
+        counts = np.array(got, np.int64)[laid] if len(laid) else np.zeros(0, np.int64)
+        real = (np.array([len(w) for w in names], np.int64) > 0)[laid] if len(laid) else np.zeros(0, bool)
+        return [counts[a:b][real[a:b]] for a, b in itertools.pairwise(cut.offsets.to_numpy().tolist())]
 
     def inside(self, stretch: bytes) -> list[int]:
         """Counts of the stretch's own prefixes by characters, from 0 on."""
@@ -109,21 +127,10 @@ class PrefixTable:
         return self.total() <= limit
 
 
-def _blocks(items: list, size: int) -> Iterator[list]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]
-
-
-def _by_bytes(texts: list[bytes], most: int = 4_000_000) -> Iterator[slice]:
-    """Slices of a batch that hold about `most` bytes each, so that memory does not follow the batch."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+@functools.lru_cache(maxsize=2)
+def prefix_counter(path: str) -> PrefixCounter:
+    """One counter, with its memo, for all tasks of a worker process."""
+    return PrefixCounter(path)
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_prefixes: bool = False) -> DataFrame:
@@ -136,10 +143,10 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long" + ", counts array<long>" * with_prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = prefix_counter(path)
         for batch in batches:
-            for s in _by_bytes([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]):
-                part = batch.slice(s.start, s.stop - s.start)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 datas = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
                 tables = [np.cumsum(d) for d in counter.deltas(datas)]
                 out = [part.column(0), pa.array([len(d) for d in datas], pa.int64()), pa.array([int(t[-1]) if len(t) else 0 for t in tables], pa.int64())]

@@ -15,8 +15,10 @@ stretch between two ends.
 
 from __future__ import annotations
 
+import functools
 import io
 import posixpath
+import re
 import struct
 import uuid
 import zlib
@@ -24,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import shared_dir
+from tidelake.llm.shared import Memo, shared_dir
 
 MAGIC, SAMPLE, HEAD = b"TIDEIDS1", 64, struct.Struct("<8sHHQQQQQ")
 
@@ -115,49 +118,91 @@ class Segment:
 class StretchEncoder:
     """Encodes whole texts with the tokenizers library, stretch by stretch.
 
-    The byte-level pattern takes a piece across a non-space and a following space never, and the last blank of a run of white
-    space belongs to what follows it. So a text whose blanks are single can be cut before each blank, and each distinct stretch is
-    encoded once while it is in the memo. Any other text goes to the library whole.
+    Two facts about the byte-level pattern make this exact: no piece holds a non-space followed by white space, so a text can be cut
+    between the two; and of a run of white space before a word only the last character, if a blank, belongs to the word's piece. A text
+    whose blanks and line feeds are single is cut before each of them. Each distinct stretch is encoded once while it is in the memo, many
+    in one call, with line feeds between them. Any other text goes to the library whole.
+
+    memo: most stretches kept; longer ones than keep_bytes are encoded each time they occur in a block.
     """
 
-    #: Blanks that follow other white space, where the cut would not be safe.
-    UNSAFE = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ", b"\xc2\x85 ", b"\xc2\xa0 ", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+    BEFORE_BLANK = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")
+    BEFORE_LINE = (b"\n\n", b" \n", b"\t\n", b"\r\n", b"\x0b\n", b"\x0c\n")
+    WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+    WIDE_TOO = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 
-    def __init__(self, path: str, memo: int = 300_000, keep_bytes: int = 48):
+    def __init__(self, path: str, memo: int = 600_000, keep_bytes: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memo, self.keep_bytes, self.ids = memo, keep_bytes, {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(x.ids, kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memo = Memo(memo, keep_bytes)
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ready(self, d: bytes) -> bytes | None:
+        """The text with a blank before each stretch but the first: what follows is its name. One without a blank of its own begins with a zero
+        byte or a line feed. None: not to be cut."""
+        if d[-1:] == b" " or b"\0" in d or any(x in d for x in self.BEFORE_BLANK):
+            return None
+        if not d.isascii() and (any(x in d for x in self.WIDE) or (b"\xe2\x80" in d and self.WIDE_TOO.search(d))):
+            return None
+        if not any(x in d for x in self.BEFORE_LINE):
+            d = d.replace(b"\n", b" \n")
+        elif b" \n" in d:
+            return None
+        return b"\0" + d
+
+    def fresh(self, stretches: list[bytes]) -> list[bytes]:
+        """The ids of stretches, packed."""
+        texts = [(w[1:] if w[:1] in (b"\0", b"\n") else b" " + w).decode() for w in stretches]
+        found: list = [b""] * len(texts)
+        joined = [i for i, t in enumerate(texts) if t and "\n" not in t and not t[-1].isspace()]
+        for k in range(0, len(joined), 4096):
+            part = joined[k : k + 4096]
+            (ids,) = self.library(["\n".join([texts[i] for i in part])])
+            at = [*(np.flatnonzero(ids == self.line) * self.width).tolist(), len(ids) * self.width]
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(part, at, strict=True):
+                found[i] = raw[start:end]
+                start = end + self.width
+        seen = set(joined)
+        alone = [i for i in range(len(texts)) if i not in seen]
+        for i, x in zip(alone, self.library([texts[i] for i in alone]), strict=True):
+            found[i] = x.tobytes()
+        line = np.array([self.line], f"<u{self.width}").tobytes()
+        return [line + x if w[:1] == b"\n" else x for w, x in zip(stretches, found, strict=True)]
 
     def encode(self, datas: list[bytes]) -> list[bytes]:
-        """The ids of each text, packed little-endian."""
-        split: list[list[bytes] | None] = []
-        for d in datas:
-            if d[-1:] == b" " or any(x in d for x in self.UNSAFE):
-                split.append(None)
+        """The ids of each text, packed little-endian. The distinct stretches of the block are looked up once each."""
+        ready = [self.ready(d) for d in datas]
+        whole = iter(self.library([d.decode() for d, x in zip(datas, ready, strict=True) if x is None]))
+        cut = pc.split_pattern(pa.array([x for x in ready if x is not None], pa.large_binary()), pattern=b" ")
+        words = cut.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        laid = pa.array(self.memo.get(names, self.fresh), pa.large_binary()).take(words.indices)
+        _, offsets, data = laid.buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(laid) + 1][cut.offsets.to_numpy()] if len(laid) else np.zeros(1, np.int64)
+        raw = memoryview(data) if data is not None else b""
+        spans = iter(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        out = []
+        for x in ready:
+            if x is None:
+                out.append(next(whole).tobytes())
             else:
-                first, *rest = d.split(b" ")
-                split.append([b"\0" + first, *rest])  # the first stretch has no blank before it: another key
-        if len(self.ids) > self.memo:
-            self.ids.clear()
-        new = list(set().union(*(x for x in split if x)) - self.ids.keys())
-        fresh: dict[bytes, bytes] = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            fresh |= zip(part, self.library([(w[1:] if w[:1] == b"\0" else b" " + w).decode() for w in part]), strict=True)
-        kept = {w: x for w, x in fresh.items() if len(w) <= self.keep_bytes}
-        self.ids |= kept
-        ids = self.ids
-        get = ids.__getitem__ if len(kept) == len(fresh) else lambda w: ids[w] if w in ids else fresh[w]
-        whole = iter(self.library([d.decode() for d, x in zip(datas, split, strict=True) if x is None]))
-        return [next(whole) if x is None else b"".join(map(get, x)) for x in split]
+                i, j = next(spans)
+                out.append(bytes(raw[i:j]))
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def stretch_encoder(path: str) -> StretchEncoder:
+    """One encoder, with its memo, for all tasks of a worker process."""
+    return StretchEncoder(path)
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -175,7 +220,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
     ordered = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).repartitionByRange(parts, "k").sortWithinPartitions("k", F.xxhash64("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = StretchEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = stretch_encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], f"<u{encoder.width}").tobytes()
         keys, lengths, payload, size = [], [], [], 0
 
@@ -192,8 +237,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "name": [name], "n_docs": [len(keys)], "n_ids": [sum(lengths)]})
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                rows = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 1024):
+                rows = batch.slice(i, 1024)
                 ids = encoder.encode([x or b"" for x in rows.column(1).cast(pa.binary()).to_pylist()])
                 for k, x in zip(rows.column(0).to_pylist(), ids, strict=True):
                     keys.append(k)
