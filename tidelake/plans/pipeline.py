@@ -83,6 +83,15 @@ class Pipeline:
         marks = {**self.store.state(table).get("watermark", {}), source: top.astimezone(timezone.utc).isoformat() if top.tzinfo else top.isoformat()}
         return new, {"watermark": marks}
 
+    def _with_former(self, table: str, source: str, key: str, changed: DataFrame, state: dict) -> tuple[DataFrame, dict]:
+        """Also the changed rows as they were when this table was last brought up to date: a row that moves leaves a group, which is affected too."""
+        seen = self.store.state(table).get("seen_version")
+        state = state | {"seen_version": self.store.snapshot(source).version}
+        if seen is None:
+            return changed, state
+        former = self.store.read(source, seen).join(changed.select(key).distinct(), key, "left_semi")
+        return changed.unionByName(former.select(*changed.columns)), state
+
     def _silver(self, t: SilverTable) -> str:
         new, state = self._incoming(t.name, t.source, t.watermark)
         if new is None:
@@ -123,6 +132,8 @@ class Pipeline:
         column = "silver_updated_at" if facts == "orders_clean" else None
         if column:
             changed, state = self._incoming(t.name, facts, column)
+            if changed is not None:
+                changed, state = self._with_former(t.name, facts, "order_id", changed, state)
         else:  # sessions have no audit time: their version is the watermark
             version = self.store.snapshot(facts).version
             known = self.store.state(t.name).get("watermark", {}).get(facts)
