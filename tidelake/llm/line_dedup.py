@@ -1,8 +1,9 @@
 """Line dedup by winnowing over line hashes.
 
-The lines of a document that hold a word are hashed. A gram is the shortest stretch of lines from one on that has gram_words words. Of the
-grams that lie in the shortest stretch from a line on with min_words words, the one with the least hash is a fingerprint. Two documents that
-share a run of lines of min_words words share the stretch that starts with the run, hence its fingerprint: no such run is missed.
+The lines of a document that hold a word are hashed. Its windows are the shortest stretches of lines of min_words words from each line on, and
+up to each line. Of a window, the line with the least hash is its fingerprint, and the hash of the whole window the fingerprint's name. Two
+documents that share a run of lines of min_words words share the windows in it, hence their fingerprints, and these cover the run: none is
+missed, whatever other documents have of it.
 
 Fingerprints are joined with the first place where they occur, the match is extended line by line both ways, and runs of min_words words or
 more that occur earlier in the corpus are deleted. Earlier is by document id, then by line. A line goes only where an earlier place
@@ -11,6 +12,7 @@ holds it, so its first occurrence always stays, also where a run overlaps its ow
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,28 +37,26 @@ def line_spans(text: str) -> tuple[list[int], list[str], list[int]]:
     return at, lines, words
 
 
-def fingerprints(hashes: list[int], words: list[int], min_words: int, gram_words: int) -> list[tuple[int, int]]:
-    """(gram hash, first line) of the selected grams. hashes: unsigned 64-bit hashes of the lines."""
-    n, ends, before = len(hashes), [], [0]
-    for w in words:
-        before.append(before[-1] + w)
-    j = 0
-    for i in range(n):  # the gram from line i on ends before line ends[i]
-        j = max(j, i)
-        while j < n and before[j] - before[i] < gram_words:
-            j += 1
-        ends.append(j if before[j] - before[i] >= gram_words else n + 1)
-    grams = [xxhash.xxh3_64_intdigest(np.array(hashes[i : ends[i]], "<u8").tobytes()) if ends[i] <= n else 0 for i in range(n)]
-    chosen, j = set(), 0
-    for i in range(n):
-        j = max(j, i)
+def fingerprints(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(name, line) of every window's minimum. hashes: unsigned 64-bit hashes of the lines."""
+    n, before = len(hashes), [0, *itertools.accumulate(words)]
+    if before[-1] < min_words:
+        return []
+    windows, i, j = set(), 0, 0
+    for i in range(n):  # from line i on
         while j < n and before[j] - before[i] < min_words:
             j += 1
         if before[j] - before[i] < min_words:
             break
-        inside = [k for k in range(i, j) if ends[k] <= j]
-        chosen.add(min(inside, key=lambda k: (grams[k], -k)))
-    return [(grams[k], k) for k in sorted(chosen)]
+        windows.add((i, j))
+    i = 0
+    for j in range(1, n + 1):  # up to line j
+        while before[j] - before[i + 1] >= min_words:
+            i += 1
+        if before[j] - before[i] >= min_words:
+            windows.add((i, j))
+    packed = np.array(hashes, "<u8").tobytes()
+    return [(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j]), min(range(i, j), key=hashes.__getitem__)) for i, j in sorted(windows)]
 
 
 def extend(own: np.ndarray, source: np.ndarray, at: int, source_at: int) -> tuple[int, int]:
@@ -69,9 +69,7 @@ def extend(own: np.ndarray, source: np.ndarray, at: int, source_at: int) -> tupl
     return a + (int(different[k - 1]) + 1 if k else 0), a + (int(different[k]) if k < len(different) else len(same))
 
 
-def dedup_lines(
-    docs: DataFrame, min_words: int = 50, gram_words: int = 25, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars"
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The rows of docs with the later repeats of runs removed from their texts, and removed_lines, removed_words (long) and
     removed_runs array<struct<first_line, last_line, source>>: indexes of lines of the old text, both included, and the document that has
     the run earlier. The text's length in chars_col follows, where docs have that column.
@@ -97,7 +95,7 @@ def dedup_lines(
                 for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     _, lines, words = line_spans(text or "")
                     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-                    found = fingerprints(hashes, words, min_words, gram_words) if sum(words) >= min_words else []
+                    found = fingerprints(hashes, words, min_words)
                     ids.append(k)
                     packed.append(np.array(hashes, "<u8").tobytes())
                     marks.append([{"h": h - (1 << 63), "pos": p} for h, p in found])

@@ -105,6 +105,7 @@ def link_vectors(
 
     kind = dict(classes.dtypes)
     dealt = classes.select("label", "dim", "rep", "v", "size").mapInArrow(deal, f"label {kind['label']}, dim int, rep {kind['rep']}, v array<double>, size long, cell int, home boolean")
+    dealt = scratch.put(dealt, "dealt")
     blocks = pair_blocks(dealt, ["label", "dim", "cell"], "rep", block)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -93,6 +93,30 @@ def jaccard_links(inter: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold
     return inter * threshold.denominator >= (n_a + n_b - inter) * threshold.numerator
 
 
+#: Bits of the bitmap by which texts are left out before a shuffle: 2 MB, whatever the corpus.
+BITMAP = 1 << 24
+
+
+def _bit_of(ids: np.ndarray) -> np.ndarray:
+    return (_mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITMAP)).astype(np.int64)
+
+
+def id_bitmap(ids: DataFrame) -> bytes:
+    """A bit for each id's hash. What has no bit is surely not among the ids; the fuller the bitmap, the less it leaves out."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bit_of(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(at + 1)], names=["bit"])  # the bitmap functions count from 1
+
+    bits = ids.mapInArrow(mark, "bit long")
+    parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("b"))
+    out = bytearray(BITMAP // 8)
+    for r in parts.collect():  # 4 KB each, at most BITMAP / 32768 of them
+        out[(r.k - 1) * 4096 : r.k * 4096] = r.b
+    return bytes(out)
+
+
 def similar_documents(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -236,7 +260,14 @@ def similar_documents(
     pairs = pairs.join(brief.toDF("a", "x"), "a").join(brief.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(estimate, "a long, b long")
     pairs = scratch.put(pairs, "pairs")
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("node")).distinct()
+    wanted = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("node")).distinct(), "wanted")
+    bitmap = id_bitmap(wanted)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap, np.uint8)
+        for batch in batches:
+            at = _bit_of(batch.column(0).to_numpy())
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +276,8 @@ def similar_documents(
                 sets = [s.astype("<u8").tobytes() for s in shingle_sets(part.column(1).to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(fetch, "id long, s binary").groupBy("id").agg(F.max("s").alias("s"))
+    near = texts.where("id IS NOT NULL").mapInArrow(likely, "id long, t string")
+    sets = near.join(wanted, "id", "left_semi").mapInArrow(fetch, "id long, s binary").groupBy("id").agg(F.max("s").alias("s"))
     sets = scratch.put(sets.join(members.select(F.col("rep").alias("id"), "size").groupBy("id").agg(F.sum("size").alias("size")), "id"), "sets")
 
     # small buckets: each pair by itself, beside the document that more pairs share

@@ -101,6 +101,48 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_mixing": r"""
+        WITH sizes AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        ranked AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM sizes GROUP BY source),
+        weighed AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM ranked),
+        levels AS (
+            SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                   / CAST(sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM weighed),
+        targets AS (SELECT *, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target FROM levels),
+        blocks AS (SELECT *, CAST(greatest(1, least(1024, floor(coalesce(min(target) FILTER (target > 0) OVER (), 0) / 100))) AS BIGINT) AS block FROM targets),
+        asked AS (SELECT *, count(*) OVER () AS n, sum(target) OVER () AS v, CAST(floor(CAST(sum(source_size) OVER () AS DOUBLE) / block + 0.5) AS BIGINT) AS s FROM blocks),
+        bounds AS (
+            SELECT *, CAST(CASE WHEN v > 0 THEN greatest(0, floor(target * (s - n / 2) / v + 0.5) - 1) ELSE 0 END AS BIGINT) AS lo,
+                   CAST(CASE WHEN v > 0 THEN floor(target * (s + n / 2) / v + 0.5) + 1 ELSE 1 END AS BIGINT) AS hi FROM asked),
+        bids AS (SELECT r, target, lo, unnest(generate_series(lo, hi)) AS k FROM bounds),
+        won AS (SELECT r, lo, target > 0 AND row_number() OVER (ORDER BY target / (2 * k + 1) DESC, r, k) <= (SELECT max(s) - sum(lo) FROM bounds) AS w FROM bids),
+        quotas AS (SELECT r, CAST(max(lo) + count(*) FILTER (w) AS BIGINT) AS seats FROM won GROUP BY r),
+        dealt AS (
+            SELECT z.doc_id, z.size, z.h, b.r, b.source_size, b.target, b.block, q.seats,
+                   CAST(least(4096, ceil(b.n_docs / 1024)) AS BIGINT) AS n_shards, coalesce('s' || z.source, 'n') AS skey
+            FROM sizes z JOIN blocks b ON z.source IS NOT DISTINCT FROM b.source JOIN quotas q ON q.r = b.r),
+        sharded AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % n_shards AS shard FROM dealt),
+        shards AS (SELECT r, skey, shard, max(seats) AS s, max(block) AS block, CAST(sum(size) AS BIGINT) AS z FROM sharded GROUP BY ALL),
+        asked2 AS (SELECT *, count(*) OVER (PARTITION BY r) AS n, CAST(sum(z) OVER (PARTITION BY r) AS DOUBLE) AS v FROM shards),
+        bounds2 AS (
+            SELECT *, CAST(CASE WHEN v > 0 THEN greatest(0, floor(z * (s - n / 2) / v + 0.5) - 1) ELSE 0 END AS BIGINT) AS lo,
+                   CAST(CASE WHEN v > 0 THEN floor(z * (s + n / 2) / v + 0.5) + 1 ELSE 1 END AS BIGINT) AS hi FROM asked2),
+        bids2 AS (SELECT r, skey, shard, z, block, lo, unnest(generate_series(lo, hi)) AS k FROM bounds2),
+        rest2 AS (SELECT r, max(s) - sum(lo) AS rest FROM bounds2 GROUP BY r),
+        won2 AS (
+            SELECT b.r, skey, shard, z, block, lo, z > 0 AND row_number() OVER (PARTITION BY b.r ORDER BY z / (2 * k + 1) DESC, skey, shard, k) <= rest2.rest AS w FROM bids2 b JOIN rest2 ON b.r = rest2.r),
+        quotas2 AS (SELECT r, skey, shard, z, block, least((max(lo) + count(*) FILTER (w)) * block, 3 * z) AS words FROM won2 GROUP BY r, skey, shard, z, block),
+        rings AS (
+            SELECT r, shard, z, CASE WHEN z > 0 THEN words // z ELSE 0 END AS whole, words - CASE WHEN z > 0 THEN words // z ELSE 0 END * z AS rest,
+                   CAST('0x' || substr(md5('7|' || skey || '|' || shard), 1, 8) AS BIGINT) % greatest(1, CAST(ceil(z / block) AS BIGINT)) * block AS first FROM quotas2),
+        placed AS (
+            SELECT d.*, g.z, g.whole, g.rest, g.first, CAST(sum(d.size) OVER (PARTITION BY d.r, d.shard ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+            FROM sharded d JOIN rings g ON d.r = g.r AND d.shard = g.shard)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+               CAST(whole * size + greatest(0, least(stop, first + rest) - greatest(stop - size, first)) + greatest(0, least(stop, first + rest - z) - (stop - size)) AS BIGINT) AS taken
+        FROM placed""",
     "op7_url_rules": r"""
         WITH cut AS (
             SELECT page_id,

@@ -68,8 +68,9 @@ class Lexicon:
         seen = self.seen
         if len(seen) > 400_000:
             seen.clear()
-        for w in set(tokens) - seen.keys():
-            seen[w] = self.read(w)
+        for w in set(tokens):
+            if w not in seen:
+                seen[w] = self.read(w)
         return list(map(seen.__getitem__, tokens))
 
 
