@@ -40,6 +40,11 @@ def test_snapshots(spark, store):
     store.update_where("t", {"v": F.lit("all")}, F.col("v") == "a")
     assert {r[1] for r in rows(store.read("t"))} == {"all", "b", "c", "q"}
     assert store.vacuum("t") >= 1 and len(rows(store.read("t"))) == 22
+    store.add_column("t", "more", "int")
+    store.add_column("t", "more", "string")
+    assert store.read("t").dtypes[-1] == ("more", "int") and store.read("t").where("more IS NULL").count() == 22
+    store.upsert("t", spark.createDataFrame([(3, "m", 5)], "k int, v string, more int"))
+    assert (3, "m", 5) in rows(store.read("t")) and len(rows(store.read("t"))) == 22
     store.clear("t")
     assert rows(store.read("t")) == [] and store.exists("t")
     store.drop("t")
@@ -185,3 +190,19 @@ def test_pipeline_stops_and_skips(spark, tmp_path):
     with pytest.raises(LayerFailed):
         Pipeline(spark, str(tmp_path / "lake"), landing, silver_tables=bad).run_silver()
     assert not pipe.store.exists("dim_products")
+
+
+def test_live_counts_and_repeats(spark, tmp_path):
+    from tidelake.streaming import live
+
+    folder = tmp_path / "in"
+    clicks = gen.click_events(spark, 40).select("event_id", "event_type", F.to_timestamp("event_ts").alias("event_ts"))
+    clicks.union(clicks.limit(20)).coalesce(1).write.parquet(str(folder))
+    stream = spark.readStream.schema(clicks.schema).parquet(str(folder))
+    once = live.first_seen(stream, "40 days").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start()
+    once.awaitTermination()
+    assert spark.table("once").count() == clicks.count()
+    counts = live.hourly_counts(spark.readStream.schema(clicks.schema).parquet(str(folder)), "40 days").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start()
+    counts.awaitTermination()
+    want = clicks.union(clicks.limit(20)).groupBy(F.date_trunc("hour", "event_ts").alias("h"), "event_type").count()
+    assert rows(spark.table("counts")) == rows(want)

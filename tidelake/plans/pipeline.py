@@ -99,8 +99,10 @@ class Pipeline:
         target = self.store.read(t.name) if self.store.exists(t.name) else None
         if t.transform == "sessions":
             everything = self.store.read(t.source)
-            rows = silver.sessions_of(target, everything, new)
-            self.store.publish(t.name, rows, list(t.keys), state=state)
+            if target is None:  # in buckets of customers, whose sessions are replaced together
+                self.store.publish(t.name, silver.sessionize(everything), ["customer_id"], state=state)
+            else:
+                self.store.rewrite(t.name, new, lambda old: silver.sessions_of(old, everything, new), state)
             return "ok"
         new = rename(new, t.mapping).withColumns({c: F.expr(e) for c, e in t.derived.items()})
         if t.checks:
@@ -141,23 +143,31 @@ class Pipeline:
         if changed is None:
             return NO_NEW_DATA
         everything = self.store.read(facts)
-        target = self.store.read(t.name) if t.mode == "incremental" and self.store.exists(t.name) else None
+        make, touched = self._aggregate(t.name, everything, changed)
         stamp = F.lit(datetime.now(timezone.utc)).cast("timestamp")
-        bare = target.drop("updated_at") if target is not None else None
-        if t.name == "daily_sales_summary":
-            rows = maintain(bare, everything, changed, ["order_date"], lambda x: gold.daily_sales(x, self.store.read("dim_products")))
-        elif t.name == "customer_ltv":
-            rows = maintain(bare, everything, changed, ["customer_sk"], lambda x: gold.customer_ltv(x, self.store.read("dim_customers")))
-        elif t.name == "product_performance":
-            rows = gold.product_performance_incremental(bare, everything, self.store.read("dim_products"), changed)
-        elif t.name == "hourly_traffic_metrics":
-            hour = F.date_trunc("hour", "first_event_ts").alias("event_hour")
-            rows = maintain(bare, everything.select("*", hour), changed.select("*", hour), ["event_hour"], lambda x: gold.hourly_traffic(x.drop("event_hour")))
+        if t.mode == "incremental" and self.store.exists(t.name):
+            self.store.rewrite(t.name, touched, lambda old: make(old.drop("updated_at")).withColumn("updated_at", stamp), state)
         else:
-            raise ValueError(f"unknown aggregate {t.name}")
-        self.store.publish(t.name, rows.withColumn("updated_at", stamp), list(t.keys), state=state)
+            self.store.publish(t.name, make(None).withColumn("updated_at", stamp), list(t.affected), state=state)
         return "ok"
 
+    def _aggregate(self, name: str, facts: DataFrame, changed: DataFrame) -> tuple[Callable[[DataFrame | None], DataFrame], DataFrame]:
+        """How to bring a part of the aggregate up to date (None: to make all of it), and the rows whose keys tell which part."""
+        if name == "daily_sales_summary":
+            products = self.store.read("dim_products")
+            return lambda old: maintain(old, facts, changed, ["order_date"], lambda x: gold.daily_sales(x, products)), changed
+        if name == "customer_ltv":
+            customers = self.store.read("dim_customers")
+            return lambda old: maintain(old, facts, changed, ["customer_sk"], lambda x: gold.customer_ltv(x, customers)), changed
+        if name == "product_performance":
+            products = self.store.read("dim_products")
+            return lambda old: gold.product_performance_incremental(old, facts, products, changed), gold.affected_categories(changed, products)
+        if name == "hourly_traffic_metrics":
+            hour = F.date_trunc("hour", "first_event_ts").alias("event_hour")
+            every, new = facts.select("*", hour), changed.select("*", hour)
+            return lambda old: maintain(old, every, new, ["event_hour"], lambda x: gold.hourly_traffic(x.drop("event_hour"))), new
+        raise ValueError(f"unknown aggregate {name}")
+
 
 def reset(pipeline: Pipeline, confirm: bool = False) -> list[str]:
     """Drops every table with its state, and schemas and checkpoints. Needs confirm=True."""

@@ -39,12 +39,13 @@ class SilverTable:
 
 @dataclass(frozen=True)
 class GoldTable:
-    """mode: incremental or full."""
+    """mode: incremental or full. affected: the columns by which it is kept up to date, and cut in buckets."""
 
     name: str
     sources: tuple[str, ...]
     order: int
     keys: tuple[str, ...]
+    affected: tuple[str, ...]
     mode: str = "incremental"
     pipeline: str = "batch"
     depends: tuple[str, ...] = ()
@@ -73,8 +74,8 @@ SILVER = (
 )
 
 GOLD = (
-    GoldTable("daily_sales_summary", ("orders_clean", "dim_products"), 1, ("order_date", "product_category"), depends=("orders_clean",)),
-    GoldTable("customer_ltv", ("orders_clean", "dim_customers"), 2, ("customer_sk",), depends=("orders_clean",)),
-    GoldTable("product_performance", ("orders_clean", "dim_products"), 3, ("products_sk",), depends=("orders_clean",)),
-    GoldTable("hourly_traffic_metrics", ("clickstream_sessions",), 4, ("event_hour",), pipeline="streaming", depends=("clickstream_sessions",)),
+    GoldTable("daily_sales_summary", ("orders_clean", "dim_products"), 1, ("order_date", "product_category"), ("order_date",), depends=("orders_clean",)),
+    GoldTable("customer_ltv", ("orders_clean", "dim_customers"), 2, ("customer_sk",), ("customer_sk",), depends=("orders_clean",)),
+    GoldTable("product_performance", ("orders_clean", "dim_products"), 3, ("products_sk",), ("category",), depends=("orders_clean",)),
+    GoldTable("hourly_traffic_metrics", ("clickstream_sessions",), 4, ("event_hour",), ("event_hour",), pipeline="streaming", depends=("clickstream_sessions",)),
 )

@@ -184,6 +184,14 @@ class TableStore:
         snap = self.snapshot(table)
         return self.publish(table, merge.update_where(self.read(table), assign, condition), snap.keys, snap.buckets)
 
+    def add_column(self, table: str, name: str, kind: str) -> Snapshot:
+        """A new column, null in the rows that are there: only the schema changes. A column that exists stays as it is."""
+        snap = self.snapshot(table)
+        schema = T.StructType.fromJson(json.loads(snap.schema))
+        if name in schema.fieldNames():
+            return snap
+        return self._commit(table, replace(snap, version=snap.version + 1, schema=schema.add(name, T._parse_datatype_string(kind)).json()))
+
     def clear(self, table: str) -> Snapshot:
         """Deletes all rows; the table and its state stay."""
         snap = self.snapshot(table)
