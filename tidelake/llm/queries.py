@@ -101,6 +101,30 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        classed AS (
+            SELECT doc_id, len(w) AS n_words, w, CASE WHEN len(w) > 0 THEN min(doc_id) OVER c ELSE doc_id END AS class_id, CASE WHEN len(w) > 0 THEN count(*) OVER c ELSE 1 END AS class_size
+            FROM cut WINDOW c AS (PARTITION BY array_to_string(w, ' '))),
+        reps AS (SELECT class_id, class_size, w FROM classed WHERE doc_id = class_id AND n_words > 0),
+        shingles AS (
+            SELECT DISTINCT class_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') for i in generate_series(1, len(w) - 4)] END) AS x FROM reps),
+        sizes AS (SELECT class_id, count(*) AS n FROM shingles GROUP BY 1),
+        shared AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN sizes p ON p.class_id = a JOIN sizes q ON q.class_id = b WHERE 5 * k >= 4 * (p.n + q.n - k)),
+        degree AS (SELECT a, sum(class_size) AS d FROM links JOIN reps ON b = class_id GROUP BY 1),
+        reach(n, r) AS (SELECT class_id, class_id FROM reps UNION SELECT b, r FROM reach JOIN links ON a = n),
+        roots AS (SELECT n, min(r) AS root FROM reach GROUP BY 1)
+        SELECT doc_id, class_id, CAST(class_size AS BIGINT) AS class_size, CAST(class_size - 1 + coalesce(d, 0) AS BIGINT) AS n_links, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+        FROM classed LEFT JOIN degree ON a = class_id LEFT JOIN roots ON n = class_id""",
+    "op4_metric_join": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.93),
+        reach(n, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT b, r FROM reach JOIN links ON a = n),
+        roots AS (SELECT n, min(r) AS root FROM reach GROUP BY 1)
+        SELECT vec_id, coalesce((SELECT count(*) FROM links WHERE a = vec_id), 0) AS n_links, root AS component_id, vec_id = root AS kept FROM v JOIN roots ON n = vec_id""",
     "op2_mixing": r"""
         WITH sizes AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),

@@ -209,7 +209,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 21) -> list[dict]:
+def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 23) -> list[dict]:
     """Writes every document's ids to segment files under root, in ascending order of the id, and returns the manifest.
 
     Files are cut at about segment_ids ids; a document is never cut. A null text is empty and has the end id alone; null ids come
