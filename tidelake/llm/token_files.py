@@ -22,6 +22,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,13 +116,23 @@ class Segment:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+def byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for themselves, the others from U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARS = byte_chars()
+
+
 class StretchEncoder:
     """Encodes whole texts with the tokenizers library, stretch by stretch.
 
     Two facts about the byte-level pattern make this exact: no piece holds a non-space followed by white space, so a text can be cut
     between the two; and of a run of white space before a word only the last character, if a blank, belongs to the word's piece. A text
-    whose blanks and line feeds are single is cut before each of them. Each distinct stretch is encoded once while it is in the memo, many
-    in one call, with line feeds between them. Any other text goes to the library whole.
+    whose blanks and line feeds are single is cut before each of them. Each distinct stretch is encoded once while it is in the memo: mere
+    letters by the model itself, others many in one call, with line feeds between them. Any other text goes to the library whole.
 
     memo: most stretches kept; longer ones than keep_bytes are encoded each time they occur in a block.
     """
@@ -131,7 +142,7 @@ class StretchEncoder:
     WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
     WIDE_TOO = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 
-    def __init__(self, path: str, memo: int = 600_000, keep_bytes: int = 40):
+    def __init__(self, path: str, memo: int = 800_000, keep_bytes: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -139,6 +150,7 @@ class StretchEncoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.memo = Memo(memo, keep_bytes)
+        self.model, self.code = self.tokenizer.model, "H" if self.width == 2 else "I"
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
@@ -157,11 +169,28 @@ class StretchEncoder:
             return None
         return b"\0" + d
 
+    def word(self, t: bytes) -> bytes | None:
+        """The ids of letters, a blank before and stops behind them or not: these are whole pieces, so the model takes them as they are. None: anything else."""
+        body = t.rstrip(b".,;:!?")
+        letters = body.lstrip(b" ")
+        if not letters.isalpha():  # of ASCII
+            if letters.isascii():
+                return self.piece(t) if not letters and t.strip(b" ") else None
+            if not ((wide := letters.decode()).isalpha() and max(wide) < "\u0530"):
+                return None
+        return self.piece(body) + self.piece(t[len(body) :])
+
+    def piece(self, data: bytes) -> bytes:
+        return array(self.code, [x.id for x in self.model.tokenize(data.decode("latin-1").translate(BYTE_CHARS))]).tobytes() if data else b""
+
     def fresh(self, stretches: list[bytes]) -> list[bytes]:
         """The ids of stretches, packed."""
-        texts = [(w[1:] if w[:1] in (b"\0", b"\n") else b" " + w).decode() for w in stretches]
-        found: list = [b""] * len(texts)
-        joined = [i for i, t in enumerate(texts) if t and "\n" not in t and not t[-1].isspace()]
+        texts = [w[1:] if w[:1] in (b"\0", b"\n") else b" " + w for w in stretches]
+        found: list = [self.word(t) for t in texts]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i in rest:
+            texts[i] = texts[i].decode()
+        joined = [i for i in rest if texts[i] and "\n" not in texts[i] and not texts[i][-1].isspace()]
         for k in range(0, len(joined), 4096):
             part = joined[k : k + 4096]
             (ids,) = self.library(["\n".join([texts[i] for i in part])])
@@ -171,7 +200,7 @@ class StretchEncoder:
                 found[i] = raw[start:end]
                 start = end + self.width
         seen = set(joined)
-        alone = [i for i in range(len(texts)) if i not in seen]
+        alone = [i for i in rest if i not in seen]
         for i, x in zip(alone, self.library([texts[i] for i in alone]), strict=True):
             found[i] = x.tobytes()
         line = np.array([self.line], f"<u{self.width}").tobytes()
