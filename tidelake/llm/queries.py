@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm import byte_bpe, line_dedup, metric_join, mixing, ngram_join, quality, token_counts, token_files, toxicity, url_rules
+from tidelake.llm.shared import ship
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -18,6 +19,7 @@ URL_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, where neither their folder nor PYTHONPATH leads to it. A cluster that has it installed, or gets it
+    by --py-files, needs nothing."""
+    package = Path(__file__).resolve().parents[1]
+    known = {Path(p or ".").resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))}
+    context = spark.sparkContext
+    if package.parent in known or package.parent.name == "site-packages" or getattr(context, "_tidelake_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="tidelake-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._tidelake_shipped = True
+
+
 class Scratch:
     """Written tables in the shared folder. They cut lineage and outlive lost executors; drop() removes what is no longer read."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidelake/{tag}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:

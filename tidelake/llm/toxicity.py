@@ -235,20 +235,33 @@ def learn(
 
 
 def choose_stems(df1: dict[str, int], df0: dict[str, int], n1: int, n0: int, most: int) -> dict[str, float]:
-    """Beginnings that the labels hold against a document: log-odds of at least 1.2, and a likelihood ratio that chance doesn't give. A longer
-    beginning that says no more than a shorter one is left out."""
-    out: dict[str, float] = {}
-    for s in sorted(df1, key=lambda s: (len(s), s)):
-        a, b = df1[s], df0.get(s, 0)
-        p1, p0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        weight = math.log(p1 / p0)
+    """Beginnings that the labels hold against a document: log-odds of at least 1.2, and a likelihood ratio that chance doesn't give.
+
+    Longest first, and a beginning must do without the toxic documents of the chosen one that begins with it and is in most of them: else a common
+    word would stand for the insult that happens to start like it. Of the chosen, a longer one that says no more than a shorter one is left out.
+    """
+
+    def weigh(a: float, b: int) -> tuple[float, float]:
         p = (a + b) / max(n1 + n0, 1)
-        ratio = 2 * sum(x * math.log(x / e) for x, e in ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p))) if x > 0 and e > 0)
-        if weight < 1.2 or ratio < 24:
+        cells = ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p)))
+        return math.log((a + 0.5) / (n1 + 1) * (n0 + 1) / (b + 0.5)), 2 * sum(x * math.log(x / e) for x, e in cells if x > 0 and e > 0)
+
+    chosen: dict[str, float] = {}
+    longer: Counter = Counter()
+    for s in sorted(df1, key=lambda s: (-len(s), s)):
+        own = weigh(df1[s], df0.get(s, 0))
+        rest = weigh(df1[s] - longer[s], df0.get(s, 0)) if longer[s] else own
+        # one that is in no more clean documents than chance is as good as the longer one, and shorter
+        if min(own[0], max(rest[0], own[0] if df0.get(s, 0) <= 0.002 * n0 else -9.0)) < 1.2 or own[1] < 16:
             continue
+        chosen[s] = round(own[0], 4)
+        for k in range(3, len(s)):
+            longer[s[:k]] = max(longer[s[:k]], df1[s])
+    out: dict[str, float] = {}
+    for s in sorted(chosen, key=lambda s: (len(s), s)):
         shorter = next((out[s[:k]] for k in range(len(s) - 1, 2, -1) if s[:k] in out), None)
-        if shorter is None or weight > shorter + 0.3:
-            out[s] = round(weight, 4)
+        if shorter is None or chosen[s] > shorter + 0.3:
+            out[s] = chosen[s]
     return dict(sorted(out.items(), key=lambda x: (-df1[x[0]], x[0]))[:most])
 
 
