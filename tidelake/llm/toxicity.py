@@ -66,7 +66,7 @@ class Lexicon:
     def symbols(self, tokens: list[str]) -> list[tuple[int, float] | None]:
         """read() of every token, by way of a bounded memo."""
         seen = self.seen
-        if len(seen) > 400_000:
+        if len(seen) > 200_000:
             seen.clear()
         for w in set(tokens):
             if w not in seen:
