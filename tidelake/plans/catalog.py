@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.columns import completed, surrogate_key
 from tidelake.operators import checks, dashboard, gold, incremental, merge, silver
 from tidelake.plans import retail
+from tidelake.plans.pipeline import Pipeline
 from tidelake.sources import events as ev
 from tidelake.sources.files import with_lineage, write_csv
 from tidelake.storage.table_store import TableStore
@@ -514,3 +515,28 @@ def dq_positive(spark, d):
 @query("SELECT order_id, 'allowed:status' AS rule FROM oc WHERE status = 'cancelled'")
 def dq_allowed_values(spark, d):
     return _tagged(spark, d, 2)[1].select("order_id", F.col("broken_rules")[0].alias("rule"))
+
+
+# the whole pipeline
+
+
+@query(
+    """SELECT order_date, category AS product_category, count(DISTINCT order_id) AS total_orders, round(sum(total_amount), 2) AS total_revenue,
+              (2 * CAST(sum(CAST(round(total_amount * 100) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*)) / 100 AS avg_revenue_per_order
+       FROM oc JOIN (SELECT order_id, min(product_id) AS product_id FROM ol GROUP BY 1) USING (order_id) JOIN dp USING (product_id)
+       WHERE lower(status) = 'completed' GROUP BY ALL"""
+)
+def medallion_daily_sales(spark, d):
+    """CSV drops of customers, products and orders through bronze, silver and gold: orders up to the cut in a first run, all others in a second."""
+    root = _scratch(spark)
+    first = retail.order_lines(spark, d).groupBy("order_id").agg(F.min("product_id").alias("product_id"))
+    orders = retail.orders(spark, d).drop("customer_sk").withColumn("status", F.lower("status")).join(first, "order_id", "left").select("order_id", "customer_id", "product_id", "order_date", "total_amount", "status")
+    customers = retail.customers(spark, d).select("customer_id", "name", "email", "region", F.lit("1990-01-01").cast("date").alias("signup_date"), F.lit("1990-01-01").cast("date").alias("customer_modified_at"))
+    products = retail.products(spark, d).select("product_id", "product_name", "category", "price")
+    pipe = Pipeline(spark, root, f"{root}/landing")
+    write_csv(customers, f"{root}/landing/customers", "append")
+    write_csv(products, f"{root}/landing/products", "append")
+    for part in (_early(orders), _changed(orders)):
+        write_csv(part, f"{root}/landing/orders", "append")
+        pipe.run()
+    return pipe.store.read("daily_sales_summary").drop("updated_at")
