@@ -124,11 +124,11 @@ BEFORE_BLANK = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The mixed corpus itself, with the columns of docs: a row for each whole repeat of a document, and one with the part that was taken.
 
-    A part that runs past the end goes on at the first word, behind a line feed. Documents without words that the mix reaches with a whole turn
-    stay; rows with equal ids take the sum of what the mix took of that id, spread as it comes. Rows with a null id are not in the result.
+    A part that runs past the end goes on at the first word, behind a line feed. A document without words comes as often as its shard has whole
+    turns. Of rows with equal ids (a null id is one too) each comes as often as the one that the mix took most of.
     """
-    plan = mixed.groupBy(id_col).agg(F.max("whole").alias("_whole"), F.max(F.struct("part", "start")).alias("_p"))
-    joined = docs.join(plan, id_col)
+    plan = mixed.groupBy(F.col(id_col).alias("_key")).agg(F.max("whole").alias("_whole"), F.max(F.struct("part", "start")).alias("_p"))
+    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_key"))).drop("_key")
     cut = F.split(F.col(text_col), BEFORE_BLANK, -1)
     tail = F.array_join(F.slice(cut, F.col("_p.start").cast("int") + 1, F.col("_p.part").cast("int")), "")
     over = (F.col("_p.start") + F.col("_p.part") - F.regexp_count(F.col(text_col), F.lit(WORD))).cast("int")
