@@ -66,8 +66,8 @@ RULES = (
     Rule("word_size", "word_chars BETWEEN 3 * n_words AND 6.5 * n_words", "word_chars < 2.5 * n_words OR word_chars > 9 * n_words", 0.8),
     Rule("symbols", "100 * n_symbols <= word_chars", "100 * n_symbols > 5 * word_chars", 0.995),
     Rule("symbols_in_words", "20 * n_symbols <= n_words", "10 * n_symbols > 4 * n_words", 0.995),
-    Rule("repeated_words", "100 * n_repeat_words <= 5 * n_words", "100 * n_repeat_words > 12 * n_words", 0.98),
-    Rule("repeated_lines", "n_dup_lines = 0", "50 * n_dup_lines > n_words", 0.9),
+    Rule("repeated_words", "100 * n_repeat_words <= 8 * n_words", "100 * n_repeat_words > 20 * n_words", 0.98),
+    Rule("repeated_lines", "n_dup_lines = 0", "n_dup_lines >= 3 AND 25 * n_dup_lines > n_words", 0.9),
     Rule("capitals", "100 * n_upper <= 15 * word_chars", "100 * n_upper > 30 * word_chars", 0.995),
 )
 
