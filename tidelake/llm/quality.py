@@ -117,3 +117,36 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: f
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = found.withColumn("base_failed", failed).withColumn("quality_probability", posterior(F.col("votes"), model))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= threshold)).drop("votes", "n_upper")
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES, rounds: int = 60, prior: float = 0.85, found: float = 0.4) -> str:
+    """judge_quality over `documents` in DuckDB SQL: features by unnesting, expectation-maximisation by recursion."""
+    n = range(len(rules))
+    rates = lambda c: ", ".join(f"{c}{i}" for i in n)
+    voted = ", ".join(f"CASE WHEN {r.bad} THEN 0 WHEN {r.good} THEN 1 ELSE -1 END AS v{i}" for i, r in enumerate(rules))
+    side = lambda yes, no: " + ".join(f"CASE v{i} WHEN 1 THEN ln({yes.format(i)}) WHEN 0 THEN ln({no.format(i)}) ELSE 0 END" for i in n)
+    good, bad = f"ln(pi) + {side('a{}', '1 - a{}')}", f"ln(1 - pi) + {side('1 - b{}', 'b{}')}"
+    share = lambda i, hit, w, least, first: f"greatest({least}, least(0.9995, (coalesce(sum({w}) FILTER (v{i} = {hit}), 0) + 4 * {first}) / (coalesce(sum({w}) FILTER (v{i} >= 0), 0) + 4)))"
+    a = ", ".join(share(i, 1, "n * g", r.trust, r.trust) for i, r in enumerate(rules))
+    b = ", ".join(share(i, 0, "n * (1 - g)", 0.02, found) for i in n)
+    return rf"""
+        WITH RECURSIVE words AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM words)),
+        twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, generate_series(0, 4) AS s(k) GROUP BY 1),
+        lined AS (SELECT *, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM words),
+        features AS (
+            SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+            FROM lined LEFT JOIN covered c USING (doc_id)),
+        voted AS (SELECT *, {voted} FROM features),
+        patterns AS (SELECT {rates("v")}, count(*) AS n FROM voted GROUP BY ALL),
+        em(k, pi, {rates("a")}, {rates("b")}) AS (
+            SELECT 0, CAST({prior} AS DOUBLE), {", ".join(f"CAST({r.trust} AS DOUBLE)" for r in rules)}, {", ".join(f"CAST({found} AS DOUBLE)" for _ in rules)}
+            UNION ALL
+            SELECT k + 1, greatest(0.02, least(0.98, (sum(n * g) + 1) / (sum(n) + 2))), {a}, {b}
+            FROM (SELECT *, 1 / (1 + exp(({bad}) - ({good}))) AS g FROM em, patterns WHERE k < {rounds}) GROUP BY k),
+        judged AS (
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1 / (1 + exp(({bad}) - ({good}))) AS p
+            FROM voted, (SELECT * FROM em WHERE k = {rounds}))
+        SELECT * EXCLUDE (p), round(p, 6) AS quality_probability, NOT base_failed AND p >= 0.5 AS kept FROM judged"""

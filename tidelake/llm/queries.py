@@ -55,7 +55,7 @@ def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(table(spark, sf_dir, "documents"))
+    return quality.judge_quality(table(spark, sf_dir, "documents")).withColumn("quality_probability", F.round("quality_probability", 6))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,6 +169,7 @@ ORACLES = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
                CAST(whole * size + greatest(0, least(stop, first + rest) - greatest(stop - size, first)) + greatest(0, least(stop, first + rest - z) - (stop - size)) AS BIGINT) AS taken
         FROM placed""",
+    "op5_quality_rules": quality.oracle_sql(),
     "op8_line_dedup": r"""
         WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS r FROM documents),
         kept AS (
