@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelake.llm.shared import tidy
+
 #: Characters of a leaf, and tokens of a leaf in decoding.
 LEAF, LEAF_IDS = 2048, 4096
 
@@ -118,7 +120,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 ids = [np.array(codec.encode(t or ""), "<u4").tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -134,4 +136,4 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids_col: str =
                 out = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)

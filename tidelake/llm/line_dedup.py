@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import Scratch
+from tidelake.llm.shared import Scratch, tidy
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -103,7 +103,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(marks, kind)], names=["id", "lines", "marks"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    scanned = scratch.put(texts.where("id IS NOT NULL").mapInArrow(scan, "id long, lines binary, marks array<struct<h: long, pos: int>>"), "scan")
+    scanned = scratch.put(texts.where("id IS NOT NULL").mapInArrow(tidy(scan), "id long, lines binary, marks array<struct<h: long, pos: int>>"), "scan")
 
     marks = scanned.select("id", F.explode("marks").alias("m")).select("id", "m.h", "m.pos")
     first = marks.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
@@ -144,7 +144,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
                 kind = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("source", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lines_n, pa.int64()), pa.array(words_n, pa.int64()), pa.array(runs, kind)], names=[*clash.values(), *new])
 
-    out = both.mapInArrow(cut, schema)
+    out = both.mapInArrow(tidy(cut), schema)
     return out.select(*[F.col(a).alias(c) for c, a in clash.items()], *new)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import Scratch, connected_components, local_components, pair_blocks
+from tidelake.llm.shared import Scratch, connected_components, local_components, pair_blocks, tidy
 
 
 def usable(vector: Column, label: Column, key: Column) -> Column:
@@ -104,7 +104,7 @@ def link_vectors(
             yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(cells, pa.int32()), pa.array(homes, pa.bool_())], names=[*batch.schema.names, "cell", "home"])
 
     kind = dict(classes.dtypes)
-    dealt = classes.select("label", "dim", "rep", "v", "size").mapInArrow(deal, f"label {kind['label']}, dim int, rep {kind['rep']}, v array<double>, size long, cell int, home boolean")
+    dealt = classes.select("label", "dim", "rep", "v", "size").mapInArrow(tidy(deal), f"label {kind['label']}, dim int, rep {kind['rep']}, v array<double>, size long, cell int, home boolean")
     dealt = scratch.put(dealt, "dealt")
     blocks = pair_blocks(dealt, ["label", "dim", "cell"], "rep", block)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import Scratch, connected_components, local_components, pair_blocks
+from tidelake.llm.shared import Scratch, connected_components, local_components, pair_blocks, tidy
 
 #: Buckets up to this size give their pairs.
 SMALL = 16
@@ -109,7 +109,7 @@ def id_bitmap(ids: DataFrame) -> bytes:
             at = np.unique(_bit_of(batch.column(0).to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array(at + 1)], names=["bit"])  # the bitmap functions count from 1
 
-    bits = ids.mapInArrow(mark, "bit long")
+    bits = ids.mapInArrow(tidy(mark), "bit long")
     parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("b"))
     out = bytearray(BITMAP // 8)
     for r in parts.collect():  # 4 KB each, at most BITMAP / 32768 of them
@@ -159,7 +159,7 @@ def similar_documents(
                     names=["id", "same", "n", "keys", "bytes"],
                 )
 
-    signed = texts.where("id IS NOT NULL").mapInArrow(sign, "id long, same binary, n int, keys array<long>, bytes binary")
+    signed = texts.where("id IS NOT NULL").mapInArrow(tidy(sign), "id long, same binary, n int, keys array<long>, bytes binary")
     signed = scratch.put(signed, "signed")
     members = signed.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     members = scratch.put(members, "members")
@@ -187,7 +187,7 @@ def similar_documents(
                 own = _mixed(pairs[:, 0].astype(np.uint64) * _MIX).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(pairs[:, 0]), pa.array(np.zeros(len(pairs)), pa.int64()).cast(pa.int32()), pa.array(np.zeros(len(pairs), np.int64)), pa.array(pairs[:, 1])], names=["key", "id", "n", "weight", "head"])
 
-    planted = reps.select("rep", "n", "keys").mapInArrow(plant, "key long, id long, n int, weight long, head long")
+    planted = reps.select("rep", "n", "keys").mapInArrow(tidy(plant), "key long, id long, n int, weight long, head long")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = planted.repartition(parts, "key").sortWithinPartitions("key", "id")
 
@@ -238,7 +238,7 @@ def similar_documents(
         close()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(star, pa.bool_())], names=["a", "b", "star"])
 
-    met = sorted_.mapInArrow(gather, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+    met = sorted_.mapInArrow(tidy(gather), "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
     met = scratch.put(met, "met")
 
     # large buckets: components of their stars
@@ -257,7 +257,7 @@ def similar_documents(
             near = (x == y).sum(1) >= least
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
 
-    pairs = pairs.join(brief.toDF("a", "x"), "a").join(brief.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(estimate, "a long, b long")
+    pairs = pairs.join(brief.toDF("a", "x"), "a").join(brief.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidy(estimate), "a long, b long")
     pairs = scratch.put(pairs, "pairs")
 
     wanted = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("node")).distinct(), "wanted")
@@ -276,8 +276,8 @@ def similar_documents(
                 sets = [s.astype("<u8").tobytes() for s in shingle_sets(part.column(1).to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
-    near = texts.where("id IS NOT NULL").mapInArrow(likely, "id long, t string")
-    sets = near.join(wanted, "id", "left_semi").mapInArrow(fetch, "id long, s binary").groupBy("id").agg(F.max("s").alias("s"))
+    near = texts.where("id IS NOT NULL").mapInArrow(tidy(likely), "id long, t string")
+    sets = near.join(wanted, "id", "left_semi").mapInArrow(tidy(fetch), "id long, s binary").groupBy("id").agg(F.max("s").alias("s"))
     sets = scratch.put(sets.join(members.select(F.col("rep").alias("id"), "size").groupBy("id").agg(F.sum("size").alias("size")), "id"), "sets")
 
     # small buckets: each pair by itself, beside the document that more pairs share
@@ -296,7 +296,7 @@ def similar_documents(
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["node", "links", "root"])
 
     one, two = (sets.toDF(c, f"s{c}", f"n{c}") for c in "ab")
-    verified = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(verify, "node long, links long, root long")
+    verified = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(tidy(verify), "node long, links long, root long")
 
     # large buckets: documents of like size within a component, block against block
     step = math.log(1 / (threshold - 1e-6))

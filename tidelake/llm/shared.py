@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Most bytes of an Arrow batch, and Spark's default for it.
+BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, where neither their folder nor PYTHONPATH leads to it. A cluster that has it installed, or gets it
-    by --py-files, needs nothing."""
+    """Prepares the session for Python workers: smaller Arrow batches, where nothing else is set, and this package.
+
+    It is sent where neither the workers' folder nor PYTHONPATH leads to it. A cluster that has it installed, or gets it by --py-files, needs
+    nothing."""
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:  # a batch is in the JVM's and the worker's memory at once, next to its Python copies
+        spark.conf.set(BATCH, "16m")
     package = Path(__file__).resolve().parents[1]
     known = {Path(p or ".").resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))}
     context = spark.sparkContext
@@ -45,6 +55,18 @@ def ship(spark: SparkSession) -> None:
     context._tidelake_shipped = True
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task, which at its end gives freed memory back to the system: workers outlive tasks, and an executor has several."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied
+
+
 class Scratch:
     """Written tables in the shared folder. They cut lineage and outlive lost executors; drop() removes what is no longer read."""
 

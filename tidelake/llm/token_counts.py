@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidelake.llm.shared import Memo
+from tidelake.llm.shared import Memo, tidy
 from tidelake.llm.token_files import BYTE_CHARS
 
 #: Stretches of a document: what stands between ASCII white space.
@@ -169,4 +169,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     out.append(pa.array([t.tolist() for t in tables], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_bytes", "n_tokens", "counts"][: len(out)])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

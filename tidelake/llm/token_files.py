@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import Memo, shared_dir
+from tidelake.llm.shared import Memo, shared_dir, tidy
 
 MAGIC, SAMPLE, HEAD = b"TIDEIDS1", 64, struct.Struct("<8sHHQQQQQ")
 
@@ -280,7 +280,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
         if keys:
             yield flush()
 
-    made = ordered.mapInArrow(run, "part long, seq long, name string, n_docs long, n_ids long").collect()  # a row per file
+    made = ordered.mapInArrow(tidy(run), "part long, seq long, name string, n_docs long, n_ids long").collect()  # a row per file
     out, at = [], 0
     for r in sorted(made, key=lambda r: (r.part, r.seq)):
         out.append({"path": f"{root}/{r.name}", "start": at, "n_docs": r.n_docs, "n_ids": r.n_ids})
@@ -318,7 +318,7 @@ def read_token_files(spark: SparkSession, manifest: list[dict], with_ids: bool =
                     out.append(pa.array([ids[a:b].tolist() for a, b in zip(starts, ends, strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return files.repartition(min(len(manifest), 10_000)).mapInArrow(run, schema)
+    return files.repartition(min(len(manifest), 10_000)).mapInArrow(tidy(run), schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, root: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import Scratch
+from tidelake.llm.shared import Scratch, tidy
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -221,7 +221,7 @@ def learn(
                     found[""] = len(texts)
                     yield pa.RecordBatch.from_pydict({"stem": list(found), "n": list(found.values())})
 
-        rows = sample.where(f"_fold <> 3 AND _y = {int(kind == 'toxic')}").select("_t").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+        rows = sample.where(f"_fold <> 3 AND _y = {int(kind == 'toxic')}").select("_t").mapInArrow(tidy(run), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
         return rows
 
     toxic = stems("toxic", None)
@@ -240,7 +240,7 @@ def learn(
             rows = [clause_features(t, lexicon) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = sample.where("_fold = 3").select("_t", "_y").mapInArrow(measure, "y int, x array<double>").collect()
+    rows = sample.where("_fold = 3").select("_t", "_y").mapInArrow(tidy(measure), "y int, x array<double>").collect()
     if rows and 0 < sum(r.y for r in rows) < len(rows):
         rows.sort(key=lambda r: (r.y, r.x))
         model = Model(learned, fit_logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows], float)))
@@ -324,4 +324,4 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                     [*part.columns, pa.array(score), pa.array((score >= model.threshold).astype(np.int32)), pa.array(n)], names=[*part.schema.names, *new]
                 )
 
-    return moved.mapInArrow(run, schema).select(*[F.col(a).alias(c) for c, a in clash.items()], *new)
+    return moved.mapInArrow(tidy(run), schema).select(*[F.col(a).alias(c) for c, a in clash.items()], *new)

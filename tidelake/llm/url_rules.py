@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.llm.shared import tidy
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -125,4 +127,4 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
                 said = pa.array([rules[k].verdict if k >= 0 else default for k in best], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, names, said], names=[id_col, "host", "path", "rule", "verdict"])
 
-    return cut.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return cut.mapInArrow(tidy(run), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
