@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; runs of lines that an earlier one has go from its text, and n_chars follows."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Every document stays; runs of 50 words that an earlier one has go from its text, also inside lines, and n_chars follows."""
+    return line_dedup.dedup_words(docs).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,3 +200,44 @@ def test_fingerprints_are_guaranteed():
             doc = [(rng.getrandbits(60), rng.randint(1, 60)) for _ in range(rng.randint(0, 4))] + run + [(rng.getrandbits(60), rng.randint(1, 60)) for _ in range(rng.randint(0, 4))]
             found.append({h for h, _ in line_dedup.fingerprints([h for h, _ in doc], [w for _, w in doc], 50)})
         assert found[0] & found[1]
+
+
+def test_word_dedup_finds_runs_inside_lines(spark):
+    rng = random.Random(4)
+    some = lambda n: ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(n)]
+    runs = [some(n) for n in (49, 50, 51, 59, 120)]
+
+    def text(words):
+        return "".join(w + rng.choice([" "] * 60 + ["\n", "\t ", "\n\n"]) for w in words)
+
+    docs = [(500, text(["same"] * 160)), (501, None), (502, " \n "), (503, text(runs[3]))]
+    for i in range(60):
+        words = some(rng.randint(0, 60))
+        for run in rng.sample(runs, rng.randint(0, 3)):
+            a = rng.randint(0, 8) if rng.random() < 0.4 else 0
+            words += run[a:] + some(rng.randint(0, 30))
+        docs.append((i, text(words)))
+    rows = [*docs, (None, docs[5][1]), (30, docs[6][1]), (30, docs[34][1])]
+    df = spark.createDataFrame([(k, t, len(t or "")) for k, t in rows], "doc_id long, text string, n_chars long").repartition(5)
+    first = {}
+    for k, t in rows:
+        w = (t or "").split()
+        for p in range(len(w) - 49 if k is not None else 0):
+            first[tuple(w[p : p + 50])] = min(k, first.get(tuple(w[p : p + 50]), k))
+    want = Counter()
+    for k, t in rows:
+        w, gone, seen = (t or "").split(), set(), set()
+        for p in range(len(w) - 49 if k is not None else 0):
+            x = tuple(w[p : p + 50])
+            if first[x] < k or x in seen:
+                gone.update(range(p, p + 50))
+            seen.add(x)
+        want[k, " ".join(x for p, x in enumerate(w) if p not in gone), len(gone)] += 1
+    out = line_dedup.dedup_words(df).collect()
+    assert Counter((r.doc_id, " ".join((r.text or "").split()), r.removed_words) for r in out) == want
+    assert sum(n for _, _, n in want) > 1500 and any(r.removed_words and not r.removed_lines for r in out)
+    assert all(r.text is None or r.n_chars == len(r.text) and bool(r.removed_runs) == (r.removed_words > 0) for r in out)
+    lines = line_dedup.dedup_lines(df).collect()
+    assert sum(r.removed_words for r in lines) < sum(r.removed_words for r in out)
+    assert line_dedup.remove_words("a b c\nd e", np.array([1]), np.array([7]), 2) == ("a\nd e", 0, 2, [(0, 0, 7)])
+    assert line_dedup.dedup_words(df.limit(0)).collect() == []

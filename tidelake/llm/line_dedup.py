@@ -8,20 +8,25 @@ missed, whatever other documents have of it.
 Fingerprints are joined with the first place where they occur, the match is extended line by line both ways, and runs of min_words words or
 more that occur earlier in the corpus are deleted. Earlier is by document id, then by line. A line goes only where an earlier place
 holds it, so its first occurrence always stays, also where a run overlaps its own source in a text that repeats itself.
+
+dedup_words does the same without regard to lines: it finds every run of min_words words, wherever in a line it starts or ends. A window of that many
+words is only looked at where the least hash of its half-size runs occurs more than once, as it does wherever the window itself does.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import Scratch, tidy
+from tidelake.llm.shared import WORD, Scratch, tidy
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -179,3 +184,156 @@ def remove(text: str, found: list[dict], min_words: int) -> tuple[str, int, int,
         a += 1
     out = "\n".join(x for i, x in enumerate(raw) if i not in drop)
     return out, len(drop), int(sum(w for w, g in zip(words, gone, strict=True) if g)), sorted((at[a], at[b - 1], s) for a, b, s in runs)
+
+
+_MIX = 0x9E3779B97F4A7C15
+
+
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """64-bit hashes of each text's words."""
+    cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = cut.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    hashes, full = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64), np.array([bool(w) for w in names], bool)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    return [hashes[codes[a:b]][full[codes[a:b]]] if b > a else np.zeros(0, np.uint64) for a, b in itertools.pairwise(cut.offsets.to_numpy().tolist())]
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words from each word on."""
+    if n == 1:
+        return words
+    k, m = n // 2, max(0, len(words) - n + 1)
+    half = run_hashes(words, k)
+    out = half[:m] + np.uint64(pow(_MIX, k, 1 << 64)) * half[k : k + m]
+    return out if n == 2 * k else out + np.uint64(pow(_MIX, 2 * k, 1 << 64)) * words[2 * k : 2 * k + m]
+
+
+def least_of(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of the n values from each place on."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        values = np.minimum(values[:-step], values[step:]) if len(values) > step else values[:0]
+        have += step
+    return values
+
+
+def word_windows(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of n words the hash and the least hash of its half-size runs, both signed; and all of those runs."""
+    k = (n + 1) // 2
+    if len(words) < n:
+        return (np.zeros(0, np.int64),) * 3
+    runs = run_hashes(words, k) * np.uint64(0xFF51AFD7ED558CCD)
+    runs ^= runs >> np.uint64(32)
+    runs = (runs * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64)
+    return run_hashes(words, n).view(np.int64), least_of(runs, n - k + 1), runs
+
+
+def dedup_words(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """As dedup_lines, but runs may start and end inside lines: every word goes that stands in a run of min_words words which an earlier place has.
+
+    Words are equal where lines and blanks between them differ. removed_lines counts the lines that lose all their words, and removed_runs has the lines
+    that a run touches. Rows with equal ids are one place, whatever their texts: each loses what earlier documents have, and its own repeats.
+
+    Three passes over the texts: for the fingerprints, for the windows beside one that occurs twice, and for the cut. Each window meets the least id that
+    has it alone, so a passage in m documents makes m rows.
+    """
+    scratch = Scratch(docs.sparkSession, "words")
+    new = ["removed_lines", "removed_words", "removed_runs"]
+    docs = docs.drop(*[c for c in docs.columns if c in new])
+    kept = docs.columns
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("x"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                ids, ts, marks, times = [], [], [], []
+                for k, t, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), word_hashes(part.column(2).to_pylist()), strict=True):
+                    _, least, runs = word_windows(words, min_words)
+                    found = np.unique(least)
+                    values, n = np.unique(runs, return_counts=True)
+                    marks.append(found)
+                    times.append(n[np.searchsorted(values, found)])
+                    ids.append(np.full(len(found), k))
+                    ts.append(np.full(len(found), t))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (ids, ts, marks, times)], names=["id", "t", "f", "n"])
+
+    marks = scratch.put(texts.mapInArrow(tidy(scan), "id long, t long, f long, n long"), "marks")
+    often = marks.groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f")
+    near = marks.select("id", "t", "f").distinct().join(often, "f").groupBy("id", "t").agg(F.collect_list("f").alias("fs"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                cols: list[list[np.ndarray]] = [[], [], [], [], []]
+                fs = part.column(3)
+                for r, words in enumerate(word_hashes(part.column(2).to_pylist())):
+                    whole, least, _ = word_windows(words, min_words)
+                    at = np.flatnonzero(np.isin(least, fs[r].values.to_numpy()))
+                    _, first, which = np.unique(whole[at], return_index=True, return_inverse=True)
+                    for c, v in zip(cols, (whole[at], np.full(len(at), part.column(0)[r].as_py()), np.full(len(at), part.column(1)[r].as_py()), at, at[first[which]] < at), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)) for c in cols[:3]), pa.array(np.concatenate(cols[3]).astype(np.int32)), pa.array(np.concatenate(cols[4]).astype(bool))], names=["h", "id", "t", "pos", "own"])
+
+    windows = texts.join(near, ["id", "t"]).select("id", "t", "x", "fs")
+    windows = scratch.put(windows.mapInArrow(tidy(spread), "h long, id long, t long, pos int, own boolean"), "windows")
+    first = windows.groupBy("h").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "src")
+    later = windows.join(first, "h").where("src < id OR own")
+    per_doc = later.groupBy(F.col("id").alias("_key"), F.col("t").alias("_hash")).agg(F.sort_array(F.collect_set(F.struct("pos", "src"))).alias("found"))
+
+    clash = {c: f"_{i}" for i, c in enumerate(kept)}
+    moved = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in clash.items()])
+    same = (F.col(clash[id_col]).cast("long") == F.col("_key")) & (F.xxhash64(clash[text_col]) == F.col("_hash"))
+    both = moved.join(per_doc, same, "left").drop("_key", "_hash")
+    schema = ", ".join(f"`{a}` {t}" for a, t in moved.dtypes) + ", removed_lines long, removed_words long, removed_runs array<struct<first_line: int, last_line: int, source: long>>"
+    t_at, c_at = kept.index(text_col), kept.index(chars_col) if chars_col in kept else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                values, found = part.column(t_at).to_pylist(), part.column(part.num_columns - 1)
+                done = []
+                for r, t in enumerate(values):
+                    spots = found[r].values
+                    done.append((t, 0, 0, []) if spots is None or t is None else remove_words(t, spots.field("pos").to_numpy(), spots.field("src").to_numpy(), min_words))
+                cols = [part.column(c) for c in range(part.num_columns - 1)]
+                cols[t_at] = pa.array([d[0] for d in done], pa.string())
+                if c_at is not None:
+                    cols[c_at] = pa.array([None if d[0] is None else len(d[0]) for d in done]).cast(cols[c_at].type)
+                kind = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("source", pa.int64())]))
+                runs = [[{"first_line": a, "last_line": b, "source": s} for a, b, s in d[3]] for d in done]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array(runs, kind)], names=[*clash.values(), *new])
+
+    out = both.mapInArrow(tidy(cut), schema)
+    return out.select(*[F.col(a).alias(c) for c, a in clash.items()], *new)
+
+
+def remove_words(text: str, at: np.ndarray, sources: np.ndarray, min_words: int) -> tuple[str, int, int, list[tuple[int, int, int]]]:
+    """The text without the windows of min_words words at the places `at` (sorted): the new text, lines and words removed, and the runs.
+
+    Of the blanks on both sides of a run those stay that hold a line's end, the ones before it where both or neither do."""
+    spans = [m.span() for m in re.finditer(WORD, text)]
+    n = len(spans)
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + min_words, -1)
+    gone = np.cumsum(step[:n]) > 0
+    feeds = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+    line = np.searchsorted(feeds, [a for a, _ in spans])
+    out, done = [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    for a, b in edges.reshape(-1, 2).tolist():
+        before = text[spans[a - 1][1] if a else 0 : spans[a][0]]
+        after = text[spans[b - 1][1] : spans[b][0] if b < n else len(text)]
+        out.append(text[done : spans[a - 1][1] if a else 0])
+        out.append(before if "\n" in before or "\n" not in after else after)
+        done = spans[b][0] if b < n else len(text)
+    out.append(text[done:])
+    breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(sources) != 0)) + 1
+    runs = [(int(line[p[0]]), int(line[p[-1] + min_words - 1]), int(s[0])) for p, s in zip(np.split(at, breaks), np.split(sources, breaks), strict=True)]
+    lost = len(set(line[gone].tolist()) - set(line[~gone].tolist()))
+    return "" if gone.all() else "".join(out), lost, int(gone.sum()), runs
