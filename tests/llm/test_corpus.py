@@ -105,6 +105,14 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mix_of_shards_smaller_than_a_block(spark):
+    rows = [(i, "w w" if i % 10 == 0 else None, "sparse") for i in range(4000)] + [(10_000 + i, "x " * 40, "full") for i in range(50)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), docs_per_shard=4).collect()
+    for size in (800, 2000):
+        of = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 0.02 * of[0].target and all(r.taken <= 3 * r.size for r in of)
+
+
 def test_take_gives_the_words_of_the_mix(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(f"d{i}w{j}" for j in range(rng.randint(0, 40))), "abc"[i % 3], "en") for i in range(200)]

@@ -2,7 +2,8 @@
 
 Words are dealt in equal blocks. Every source gets a whole number of blocks by the highest quotients target / (2k + 1), then every shard of
 a source by the highest quotients size / (2k + 1). A shard's documents stand in a seeded order, one after the other, in a ring of words; it
-gives whole turns of the ring, and then as many words from a seeded block on as its quota has left. So the words taken meet the quotas to
+gives whole turns of the ring, and then as many words from a seeded block on as its quota has left. What a shard cannot give under the cap, the
+source's other shards give. So the words taken meet the quotas to
 the word, a document is taken at most as often as the cap says, and every run agrees.
 
 Everything is DataFrame functions. Only the candidates near the rounding border are ranked: a divisor's bounds give all other seats.
@@ -101,6 +102,12 @@ def mix(
     shards = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"), F.max("seats").alias("source_seats"), F.max("block").alias("_block"))
     shares = _seats(shards, ["skey", "shard"], "shard_size", F.col("source_seats"), ["skey"])
     shards = shards.join(shares, ["skey", "shard"]).withColumn("words", F.least(F.col("seats") * F.col("_block"), cap * F.col("shard_size")))
+    # words of seats that a shard cannot fill go to the source's other shards, by the room that they have
+    source, upto = Window.partitionBy("skey"), Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shards = shards.withColumn("_room", cap * F.col("shard_size") - F.col("words"))
+    shards = shards.withColumns({"_rooms": F.sum("_room").over(source), "_upto": F.sum("_room").over(upto), "_unfilled": F.col("source_seats") * F.col("_block") - F.sum("words").over(source)})
+    given = lambda at: f"coalesce((cast(least(_unfilled, _rooms) AS decimal(19, 0)) * cast({at} AS decimal(19, 0))) div cast(nullif(_rooms, 0) AS decimal(19, 0)), 0L)"
+    shards = shards.withColumn("words", F.col("words") + F.expr(f"{given('_upto')} - {given('(_upto - _room)')}"))
     first = F.pmod(_hash32(F.md5(F.concat_ws("|", F.lit(str(seed)), "skey", F.col("shard").cast("string")).cast("binary"))), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("_block")))) * F.col("_block")
     turns = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long")
     shards = shards.select("skey", "shard", "shard_size", turns.alias("whole"), (F.col("words") - turns * F.col("shard_size")).alias("rest"), first.alias("first"))
