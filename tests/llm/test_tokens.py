@@ -137,5 +137,17 @@ def test_budget_questions():
     assert table.truncate(0) == "" and table.truncate(10**6).endswith("dog")
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_cuts_inside_stretches(name):
+    counter = token_counts.PrefixCounter(P.path(name))
+    for text in ["one two\n\nthree four", "日本語のテキスト処理は難しい", "internationalisation" * 3]:
+        table = token_counts.PrefixTable(text.encode(), counter)
+        counts = counter.library([text[:i] for i in range(len(text) + 1)])
+        assert [table.at(i) for i in range(len(text) + 1)] == counts
+        for limit in range(counts[-1] + 2):
+            longest = text[: max(i for i, n in enumerate(counts) if n <= limit)]
+            assert table.truncate(limit).rstrip() == longest.rstrip(), (name, limit)
+
+
 def test_hash_is_of_little_endian_words():
     assert hashlib.sha256(np.array([1, 2], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\1\0\0\0\2\0\0\0").hexdigest()

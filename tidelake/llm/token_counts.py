@@ -7,7 +7,8 @@ spaces alone. So with c(w) the token count of the stretch w, the count of the pr
 
 which is exact at every k. c is computed once by the library for each distinct stretch and kept in a bounded memo. The table
 of prefix counts answers budget and truncation questions by binary search; a cut inside a stretch adds only the counts of that
-stretch's own prefixes, which the same memo holds. No document is encoded a second time.
+stretch's own prefixes, by characters, which are counted when they are first asked for. Where white space counts, as for
+sentencepiece and byte-level files, the whole text is one stretch.
 """
 
 from __future__ import annotations
@@ -41,12 +42,14 @@ class PrefixCounter:
 
             self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
             self.tokenizer = self.border = None
+            self.whole = True
         else:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
+            self.whole = False
             alone = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("0", "a 0 b", "a", "b")]
             # only for byte-level models whose words don't depend on the blanks beside them
             self.border = alone[0][0] if len(alone[0]) == 1 and alone[1] == alone[2] + alone[0] + alone[3] and self.library(["É;"])[0] == self._split("é", ";") else None
@@ -89,8 +92,8 @@ class PrefixCounter:
         return found
 
     def deltas(self, datas: list[bytes]) -> list[np.ndarray]:
-        """For each text in UTF-8: c(w_1), c(w_2), ... A sentencepiece text is one stretch, as its pieces depend on white space."""
-        if self.tokenizer is None:
+        """For each text in UTF-8: c(w_1), c(w_2), ... Where white space counts, the text is one stretch."""
+        if self.whole:
             return [np.array([n], np.int64) for n in self.library([d.decode() for d in datas])]
         cut = pc.ascii_split_whitespace(pa.array([d.decode() for d in datas], pa.large_string()))
         words = cut.flatten().cast(pa.large_binary()).dictionary_encode()
@@ -107,7 +110,10 @@ class PrefixCounter:
             text = stretch.decode()
             if len(self.prefixes) > 10_000:
                 self.prefixes.clear()
-            self.prefixes[stretch] = [0, *self.library([text[: i + 1] for i in range(len(text))])]
+            counts = [0]
+            for k in range(0, len(text), 256):
+                counts += self.library([text[: i + 1] for i in range(k, min(k + 256, len(text)))])
+            self.prefixes[stretch] = counts
         return self.prefixes[stretch]
 
 
@@ -116,7 +122,7 @@ class PrefixTable:
 
     def __init__(self, data: bytes, counter: PrefixCounter):
         self.data, self.counter = data, counter
-        spans = [m.span() for m in STRETCH.finditer(data)] if counter.tokenizer is not None else [(0, len(data))] * bool(data)
+        spans = [m.span() for m in STRETCH.finditer(data)] if not counter.whole else [(0, len(data))] * bool(data)
         self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
         self.counts = np.concatenate([[0], np.cumsum(counter.deltas([data])[0])]).astype(np.int64) if spans else np.zeros(1, np.int64)
 
@@ -134,8 +140,13 @@ class PrefixTable:
         return before
 
     def truncate(self, limit: int) -> str:
-        """The longest prefix that ends with a whole stretch and has at most `limit` tokens."""
+        """The longest prefix, without blanks behind it, that has at most `limit` tokens. It may end inside a stretch."""
         k = int(np.searchsorted(self.counts, limit, "right")) - 1
+        if 0 <= k < len(self.starts):
+            stretch = self.data[self.starts[k] : self.ends[k]]
+            n = int(np.flatnonzero(np.array(self.counter.inside(stretch)) + self.counts[k] <= limit)[-1])
+            if n:
+                return self.data[: self.starts[k]].decode() + stretch.decode()[:n]
         return self.data[: self.ends[k - 1]].decode() if k > 0 else ""
 
     def fits(self, limit: int) -> bool:
