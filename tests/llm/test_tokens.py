@@ -137,7 +137,7 @@ def test_budget_questions():
     assert table.truncate(0) == "" and table.truncate(10**6).endswith("dog")
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_cuts_inside_stretches(name):
     counter = token_counts.PrefixCounter(P.path(name))
     for text in ["one two\n\nthree four", "日本語のテキスト処理は難しい", "internationalisation" * 3]:
@@ -149,5 +149,13 @@ def test_cuts_inside_stretches(name):
             assert table.truncate(limit).rstrip() == longest.rstrip(), (name, limit)
 
 
+def test_white_space_that_counts(spark):
+    path = P.path("byte_bpe_50k.json")
+    whole, texts = Tokenizer.from_file(path), ["one two\n\nthree four\n", *(x or "" for x in ODD)]
+    out = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == {i: len(whole.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert not token_counts.PrefixCounter(P.path("word_bpe_49k.json")).whole
+
+
 def test_hash_is_of_little_endian_words():
     assert hashlib.sha256(np.array([1, 2], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\1\0\0\0\2\0\0\0").hexdigest()

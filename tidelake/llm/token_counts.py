@@ -49,11 +49,17 @@ class PrefixCounter:
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
-            self.whole = False
+            self.whole = any(self._blanks_count(b) for b in " \t\n\x0b\x0c\r")
             alone = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("0", "a 0 b", "a", "b")]
             # only for byte-level models whose words don't depend on the blanks beside them
             self.border = alone[0][0] if len(alone[0]) == 1 and alone[1] == alone[2] + alone[0] + alone[3] and self.library(["É;"])[0] == self._split("é", ";") else None
 
+    def _blanks_count(self, blank: str) -> bool:
+        """Whether a text with this white space has other tokens than its stretches have."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        texts = [blank.join(x) for x in (("a", "b"), ("", "a"), ("a", ""), ("one", "", "two"), ("It", "1", ".", "é", "'s", "日"), ("", "", ""))]
+        return any(ids(t) != [i for w in STRETCH.findall(t.encode()) for i in ids(w.decode())] for t in texts)
+
     def _split(self, *pieces: str) -> int:
         return sum(len(self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(BYTE_CHARS))) for p in pieces)
 
