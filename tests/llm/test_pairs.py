@@ -241,3 +241,16 @@ def test_word_dedup_finds_runs_inside_lines(spark):
     assert sum(r.removed_words for r in lines) < sum(r.removed_words for r in out)
     assert line_dedup.remove_words("a b c\nd e", np.array([1]), np.array([7]), 2) == ("a\nd e", 0, 2, [(0, 0, 7)])
     assert line_dedup.dedup_words(df.limit(0)).collect() == []
+
+
+def test_equal_ids_with_different_texts(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    texts = [[line(30) for _ in range(4)] for _ in range(3)]
+    rows = [(1, "\n".join(t)) for t in texts] + [(5 + i, "\n".join([line(9), *t, line(9)])) for i, t in enumerate(texts)] + [(9, "\n".join([texts[2][0], *texts[1], *texts[1]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).where("doc_id > 1").collect()}
+    assert [out[i].removed_words for i in (5, 6, 7, 9)] == [120, 120, 120, 240]
+    judged = ngram_join.similar_documents(df).collect()
+    assert {r.doc_id: (r.component_id, r.kept) for r in judged if r.doc_id in (1, 5, 6, 7)} == {1: (1, True), 5: (1, False), 6: (1, False), 7: (1, False)}
+    assert [r.n_links for r in judged if r.doc_id < 9] == [1] * 6

@@ -81,7 +81,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
 
     A null text stays null, a text whose lines all go becomes empty; no row is dropped. Runs below min_words words, and equal words that are not
     whole lines, stay. Lines without words go only inside a run. A document's own repeats count. Rows with equal ids
-    are one place: they don't delete each other's lines, but lose what an earlier document has. Rows with a null id are left as they are.
+    are one place, whatever their texts: each loses what earlier documents have, and its own repeats. Rows with a null id are left as they are.
     Input columns named like the new ones are replaced.
 
     One pass over the texts gives hashes of lines, 8 bytes each; only these are joined. Each fingerprint meets its first place alone, so a
@@ -96,36 +96,40 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                ids, packed, marks = [], [], []
-                for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                packed, marks = [], []
+                for text in part.column(2).to_pylist():
                     _, lines, words = line_spans(text or "")
                     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
                     found = fingerprints(hashes, words, min_words)
-                    ids.append(k)
                     packed.append(np.array(hashes, "<u8").tobytes())
-                    marks.append([{"h": h - (1 << 63), "pos": p} for h, p in found])
-                kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(marks, kind)], names=["id", "lines", "marks"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    scanned = scratch.put(texts.where("id IS NOT NULL").mapInArrow(tidy(scan), "id long, lines binary, marks array<struct<h: long, pos: int>>"), "scan")
-
-    marks = scanned.select("id", F.explode("marks").alias("m")).select("id", "m.h", "m.pos")
-    first = marks.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
-    later = marks.join(first, "h").where((F.col("id") > F.col("first.id")) | ((F.col("id") == F.col("first.id")) & (F.col("pos") > F.col("first.pos"))))
-    shifts = later.groupBy("id", F.col("first.id").alias("src"), (F.col("first.pos") - F.col("pos")).alias("shift")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
+                    own: dict[int, int] = {}  # where the text itself has the window first
+                    for h, p in found:
+                        own[h] = min(p, own.get(h, p))
+                    marks.append([{"h": h - (1 << 63), "pos": p, "own": own[h]} for h, p in found])
+                kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("own", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.array(marks, kind)], names=["id", "t", "lines", "marks"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("x"))
+    scanned = scratch.put(texts.where("id IS NOT NULL").mapInArrow(tidy(scan), "id long, t long, lines binary, marks array<struct<h: long, pos: int, own: int>>"), "scan")
+
+    marks = scanned.select("id", "t", F.explode("marks").alias("m")).select("id", "t", "m.h", "m.pos", "m.own")
+    first = marks.groupBy("h").agg(F.min(F.struct("id", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
+    place = F.when(F.col("first.id") < F.col("id"), F.col("first")).otherwise(F.struct("id", "t", F.col("own").alias("pos")))
+    later = marks.join(first, "h").withColumn("place", place).where("place.id < id OR own < pos")
+    shifts = later.groupBy("id", "t", F.col("place.id").alias("src"), F.col("place.t").alias("src_t"), (F.col("place.pos") - F.col("pos")).alias("shift")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
     shifts = scratch.put(shifts, "shifts")
 
     # of the source's lines only those beside the document's own are sent: from line max(0, shift) on, as many as the document has
-    size = scanned.join(shifts.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max((F.octet_length("lines") / 8).cast("int")).alias("n"))
-    src_lines = scanned.select(F.col("id").alias("src"), "lines").join(shifts.select("src").distinct(), "src", "left_semi").groupBy("src").agg(F.max("lines").alias("lines"))
-    beside = shifts.join(size, "id").join(src_lines, "src")
-    beside = beside.select("id", "src", "shift", "at", F.expr("substring(lines, 8 * greatest(0, shift) + 1, 8 * (n + least(0, shift)))").alias("beside"))
-    per_doc = beside.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("src", "shift", "at", "beside"))).alias("found"))
+    size = scanned.join(shifts.select("id", "t").distinct(), ["id", "t"], "left_semi").groupBy("id", "t").agg(F.max((F.octet_length("lines") / 8).cast("int")).alias("n"))
+    src_lines = scanned.select(F.col("id").alias("src"), F.col("t").alias("src_t"), "lines").join(shifts.select("src", "src_t").distinct(), ["src", "src_t"], "left_semi").groupBy("src", "src_t").agg(F.max("lines").alias("lines"))
+    beside = shifts.join(size, ["id", "t"]).join(src_lines, ["src", "src_t"])
+    beside = beside.select("id", "t", "src", "shift", "at", F.expr("substring(lines, 8 * greatest(0, shift) + 1, 8 * (n + least(0, shift)))").alias("beside"))
+    per_doc = beside.groupBy(F.col("id").alias("_key"), F.col("t").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("src", "shift", "at", "beside"))).alias("found"))
 
     clash = {c: f"_{i}" for i, c in enumerate(kept)}  # neutral names, whatever the input's are
     moved = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in clash.items()])
-    both = moved.join(per_doc.withColumnRenamed("id", "_key"), F.col(clash[id_col]).cast("long") == F.col("_key"), "left").drop("_key")
+    same = (F.col(clash[id_col]).cast("long") == F.col("_key")) & (F.xxhash64(clash[text_col]) == F.col("_hash"))
+    both = moved.join(per_doc, same, "left").drop("_key", "_hash")
     chars = clash.get(chars_col) if chars_col else None
     schema = ", ".join(f"`{a}` {t}" for a, t in moved.dtypes) + ", removed_lines long, removed_words long, removed_runs array<struct<first_line: int, last_line: int, source: long>>"
     t_at = kept.index(text_col)

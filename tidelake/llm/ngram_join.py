@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.llm.shared import Scratch, connected_components, local_components, pair_blocks, tidy
@@ -135,7 +135,7 @@ def similar_documents(
     whether that is its own.
 
     Words are what ASCII white space parts; a text of fewer than `words` words is one shingle. A null text and one without words have no
-    shingles: they link with nothing, not even each other. Rows with equal ids are one node, and of their texts one is verified. Rows with a
+    shingles: they link with nothing, not even each other. Rows with equal ids are judged by their own texts; where several texts have the same smallest id, they are one component. Rows with a
     null id link with nothing and are kept, with null class and component. Other columns are not read. An empty table gives no rows.
 
     recall is that of the search, for a pair exactly at the threshold; more similar pairs are found more surely, and what is found is verified. No
@@ -161,9 +161,13 @@ def similar_documents(
 
     signed = texts.where("id IS NOT NULL").mapInArrow(tidy(sign), "id long, same binary, n int, keys array<long>, bytes binary")
     signed = scratch.put(signed, "signed")
-    members = signed.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    members = signed.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("n").alias("_n"))
+    # a class is a node, named by its smallest id; classes that have this id too get a name beyond the ids
+    beyond = F.xxhash64("same").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    turn = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("_n").desc(), "same"))
+    members = members.withColumn("node", F.when(turn == 1, F.col("rep")).otherwise(beyond)).drop("_n")
     members = scratch.put(members, "members")
-    reps = signed.join(members, "same").where("id = rep AND n > 0").dropDuplicates(["rep"]).select("rep", "size", "n", "keys", "bytes")
+    reps = signed.join(members, "same").where("id = rep AND n > 0").dropDuplicates(["node"]).select(F.col("node").alias("rep"), "size", "n", "keys", "bytes")
     reps = scratch.put(reps, "reps")
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +265,9 @@ def similar_documents(
     pairs = scratch.put(pairs, "pairs")
 
     wanted = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("node")).distinct(), "wanted")
-    bitmap = id_bitmap(wanted)
+    wanted = members.join(wanted.withColumnRenamed("id", "node"), "node").groupBy(F.col("rep").alias("id")).agg(F.collect_list(F.struct("same", "node")).alias("nodes"))
+    wanted = scratch.put(wanted, "wanted_ids")
+    bitmap = id_bitmap(wanted.select("id"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap, np.uint8)
@@ -273,12 +279,15 @@ def similar_documents(
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                sets = [s.astype("<u8").tobytes() for s in shingle_sets(part.column(1).to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+                values, nodes = part.column(0).to_pylist(), part.column(1).to_pylist()
+                node = [next((x["node"] for x in n if x["same"] == xxhash.xxh3_128_digest(b" ".join(v.encode().split()))), None) for v, n in zip(values, nodes, strict=True)]
+                sets = [s.astype("<u8").tobytes() for s in shingle_sets(values, words)]
+                found = pa.array([x is not None for x in node])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()).filter(found), pa.array(sets, pa.binary()).filter(found)], names=["id", "s"])
 
     near = texts.where("id IS NOT NULL").mapInArrow(tidy(likely), "id long, t string")
-    sets = near.join(wanted, "id", "left_semi").mapInArrow(tidy(fetch), "id long, s binary").groupBy("id").agg(F.max("s").alias("s"))
-    sets = scratch.put(sets.join(members.select(F.col("rep").alias("id"), "size").groupBy("id").agg(F.sum("size").alias("size")), "id"), "sets")
+    sets = near.join(wanted, "id").select("t", "nodes").mapInArrow(tidy(fetch), "id long, s binary").groupBy("id").agg(F.max("s").alias("s"))
+    sets = scratch.put(sets.join(members.select(F.col("node").alias("id"), "size"), "id"), "sets")
 
     # small buckets: each pair by itself, beside the document that more pairs share
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,9 +330,10 @@ def similar_documents(
     compared = blocks.groupBy("root", "group", "lo", "hi").applyInPandas(compare, "node long, links long, root long")
     found = scratch.put(verified.union(compared), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch, "links")
+    same_id = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(same_id), scratch, "links")
 
-    classed = members.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    classed = members.join(links, "node", "left").join(roots, "node", "left").drop("node")
     out = signed.select("id", "same", "n").join(classed, "same")
     some = F.col("n") > 0
     component = F.when(some, F.coalesce("root", "rep")).otherwise(F.col("id"))
