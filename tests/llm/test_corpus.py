@@ -224,6 +224,18 @@ def test_toxicity_is_learned_and_holds_out(spark):
     assert sum(r.toxic == 1 and r.truth == 0 for r in scored) / sum(r.truth == 0 for r in scored) < 0.02
 
 
+def test_only_near_copies_are_left_out(spark):
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    least = lambda n: "SELECT xxhash64('a', 'b', CAST(id AS STRING)) AS h, id FROM range(20000) ORDER BY h LIMIT " + str(n)
+    common = f"a b {spark.sql(least(1)).first().id}"
+    base = [words(200) for _ in range(6)]
+    near = [[*base[0][:90], "other", *base[0][91:]], base[1]]
+    rows = [(i, 1, 0, f"{common} {' '.join(w)}") for i, w in enumerate([*base, *near])]
+    df = spark.createDataFrame(rows, "_id long, _y int, _fold long, _t string")
+    assert sorted(r._id for r in toxicity.one_of_copies(df).collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_toxicity_odd_inputs(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, "", "a"), (None, "you idiot moron scum", "a"), (4, "word " * 50000, "a")], "doc_id long, text string, toxic string")
     model = toxicity.learn(df, spark.createDataFrame([], "doc_id long, toxic int"))
