@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash LSH bands with exact verification.
 
-Documents are sets of word shingles. Documents with the same words are one class, and only class representatives are joined. A forest of
-`trees` prefix trees holds, for each document, a sequence of MinHash values per tree. A match is a common prefix; its length starts at
-`deepest` and is shortened until two documents at the threshold s meet in some tree with the target recall, 1 - (1 - s^k)^trees. Documents
-with a common prefix of that length share a bucket, found by sorting prefixes.
+Documents are sets of word shingles. Documents with the same words are one class, and only class representatives are joined. In place of
+a forest of `trees` prefix trees there are as many bands of one length k, fixed before any data: the longest up to `deepest` with which two
+documents at the threshold s meet in some band with the target recall, 1 - (1 - s^k)^trees. Documents with an equal band share a bucket, found
+by sorting the bands' hashes.
 
 Small buckets give pairs. A large bucket gives only a star, each member with the smallest one; the stars' components are compared within, in
 pairs of blocks of documents whose sizes allow a link. Either way the similarity is computed from the shingles themselves, as 64-bit hashes.
