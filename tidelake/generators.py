@@ -8,14 +8,14 @@ import argparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Regions, categories with price ranges, order states.
-REGIONS = ["North America", "South America", "Western Europe", "Eastern Europe", "Middle East", "Africa", "South Asia", "Asia Pacific"]
-CATEGORIES = {"Electronics": (20, 1500), "Clothing": (10, 200), "Home": (15, 500), "Books": (5, 60), "Sports": (10, 400), "Beauty": (5, 120), "Toys": (5, 150), "Grocery": (2, 80)}
+#: Values to draw from. Categories have price ranges, states the share up to and with them.
+REGIONS = ["Coast", "Highlands", "Islands", "Lakes", "Plains", "Valley"]
+CATEGORIES = {"Lighting": (12, 640), "Cycling": (9, 2100), "Stationery": (1, 45), "Gardening": (4, 310), "Tableware": (6, 190), "Audio": (25, 980), "Camping": (8, 720), "Pet care": (3, 85), "Knitwear": (18, 240), "Board games": (11, 95), "Bakery": (2, 28)}
 NOUNS = ["Lamp", "Kettle", "Jacket", "Novel", "Racket", "Cream", "Puzzle", "Granola", "Speaker", "Blanket", "Monitor", "Sandals"]
-VARIANTS = ["", " Pro", " Mini", " Max", " Lite", " Plus", " Classic", " Eco"]
+VARIANTS = ["", " No. 2", " in blue", " for two", " (set)", " with lid"]
 FIRST = ["Ada", "Ben", "Caro", "Dev", "Elif", "Finn", "Gia", "Hugo", "Iris", "Jon", "Kim", "Lena"]
 LAST = ["Adler", "Baker", "Costa", "Dietz", "Evans", "Fuchs", "Greco", "Hansen", "Ito", "Jensen", "Kaya", "Lopez"]
-STATUS = [("completed", 0.65), ("pending", 0.80), ("cancelled", 0.92), ("refunded", 1.0)]
+STATUS = [("completed", 0.6), ("pending", 0.8), ("cancelled", 0.9), ("refunded", 1.0)]
 
 
 def _u(seed: int, salt: str) -> Column:

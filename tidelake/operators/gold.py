@@ -38,9 +38,25 @@ def product_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
     return sold.groupBy(*keys).agg(F.count_distinct("order_id").alias("units_sold"), F.round(F.sum("total_amount"), 2).alias("total_revenue"))
 
 
+#: Steps of the ranking's histogram for each doubling of the revenue.
+STEPS = 64
+
+
 def rank_in_category(sales: DataFrame) -> DataFrame:
-    """Rank by revenue in the category; equals share a rank, and gaps follow."""
-    return sales.withColumn("category_rank", F.rank().over(Window.partitionBy("category").orderBy(F.col("total_revenue").desc())))
+    """Rank by revenue in the category; equals share a rank, and gaps follow. Products without revenue come last, as equals.
+
+    No task sorts a whole category: products are counted by category and step of the revenue's logarithm, a window over these counts tells
+    how many products stand in higher steps, and only the products of one step are ranked against each other.
+    """
+    r = F.col("total_revenue")
+    step = F.when(r > 0, F.floor(F.log2(r.cast("double")) * STEPS) + (1 << 20)).when(r < 0, -(F.floor(F.log2(-r.cast("double")) * STEPS) + (1 << 20))).when(r == 0, 0).otherwise(-(1 << 40))
+    stepped = sales.withColumn("_step", step.cast("long"))
+    higher = Window.partitionBy("category").orderBy(F.col("_step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = stepped.groupBy("category", "_step").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0))).drop("_n")
+    counts = counts.select(F.col("category").alias("_category"), F.col("_step").alias("_at"), "_above")
+    placed = stepped.join(counts, F.col("category").eqNullSafe(F.col("_category")) & (F.col("_step") == F.col("_at")))
+    among = F.rank().over(Window.partitionBy("category", "_step").orderBy(r.desc()))
+    return placed.withColumn("category_rank", (F.col("_above") + among).cast("int")).select(*sales.columns, "category_rank")
 
 
 def product_performance(orders: DataFrame, products: DataFrame) -> DataFrame:
@@ -64,12 +80,14 @@ def product_performance_incremental(target: DataFrame | None, orders: DataFrame,
 
 def hourly_traffic(sessions: DataFrame) -> DataFrame:
     """Views, visitors, sessions, funnel rates and mean duration by the hour in which sessions start."""
-    total = F.count("session_id")
-    return sessions.groupBy(F.date_trunc("hour", "first_event_ts").alias("event_hour")).agg(
+    hour = sessions.withColumn("event_hour", F.date_trunc("hour", "first_event_ts"))
+    counted = hour.groupBy("event_hour").agg(
         F.sum("page_view_count").alias("page_views"),
         F.count_distinct("customer_id").alias("unique_visitors"),
-        total.alias("total_sessions"),
-        rate(F.sum(F.when(F.col("add_to_cart_count") > 0, 1).otherwise(0)), total).alias("add_to_cart_rate"),
-        rate(F.sum(F.when(F.col("converted"), 1).otherwise(0)), total).alias("purchase_rate"),
+        F.count("session_id").alias("total_sessions"),
+        F.count_if(F.col("add_to_cart_count") > 0).alias("_with_cart"),
+        F.count_if("converted").alias("_with_purchase"),
         F.round(F.avg("session_duration_secs"), 1).alias("avg_session_duration_secs"),
     )
+    shares = {"add_to_cart_rate": rate(F.col("_with_cart"), F.col("total_sessions")), "purchase_rate": rate(F.col("_with_purchase"), F.col("total_sessions"))}
+    return counted.withColumns(shares).drop("_with_cart", "_with_purchase")

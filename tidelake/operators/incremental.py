@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def since(df: DataFrame, column: str, watermark: datetime | str | None) -> DataFrame:
-    """Rows strictly after the watermark; all rows, where there is none. The column stays bare, so the filter reaches the scan."""
+def since(df: DataFrame, column: str, watermark: int | datetime | str | None) -> DataFrame:
+    """Rows strictly after the watermark; all rows, where there is none. The column stays bare, so the filter reaches the scan.
+
+    An integer is microseconds since the epoch, as watermark_of gives it: the same instant in every time zone. A text without an offset, or a
+    datetime without a zone, is a time of the session's zone or the driver's.
+    """
     if watermark is None:
         return df
-    return df.where(F.col(column) > F.lit(watermark).cast("timestamp"))
+    mark = F.timestamp_micros(F.lit(watermark).cast("long")) if isinstance(watermark, int) else F.lit(watermark).cast("timestamp")
+    return df.where(F.col(column) > mark)
 
 
-def watermark_of(df: DataFrame, column: str) -> datetime | None:
-    """The largest value, or None for an empty table."""
-    return df.agg(F.max(column).alias("m")).first().m
+def watermark_of(df: DataFrame, column: str) -> int | None:
+    """The largest value in microseconds since the epoch, whatever the zones of session and driver; None for an empty table."""
+    return df.agg(F.unix_micros(F.max(F.col(column).cast("timestamp"))).alias("m")).first().m
 
 
 def affected(changed: DataFrame, *keys: str | Column) -> DataFrame:

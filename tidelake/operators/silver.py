@@ -149,10 +149,13 @@ def session_boundaries(events: DataFrame, gap: int = SESSION_GAP, key: str = "cu
     return out.withColumn("session_num", F.sum("is_session_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def sessionize(events: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
-    """One row per session: id, customer, first and last time, duration, counts by kind, whether it converted, and its date."""
+def sessionize(events: DataFrame, gap: int = SESSION_GAP, before: DataFrame | None = None) -> DataFrame:
+    """One row per session: id, customer, first and last time, duration, counts by kind, whether it converted, and its date.
+
+    before: (customer_id, n_before), how many earlier sessions a customer has that are not among the events; numbers go on from there.
+    A customer's events are one window; more than one task can hold of a single customer spill to disk."""
     numbered = session_boundaries(events, gap)
-    count = lambda kind: F.sum(F.when(F.col("event_type") == kind, 1).otherwise(0)).cast("int")
+    count = lambda kind: F.count_if(F.col("event_type") == kind).cast("int")
     out = numbered.groupBy("customer_id", "session_num").agg(
         F.min("event_ts").alias("first_event_ts"),
         F.max("event_ts").alias("last_event_ts"),
@@ -161,6 +164,8 @@ def sessionize(events: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
         count("add_to_cart").alias("add_to_cart_count"),
         count("purchase").alias("purchase_count"),
     )
+    if before is not None:
+        out = out.join(before, "customer_id", "left").withColumn("session_num", F.col("session_num") + F.coalesce("n_before", F.lit(0)))
     return out.select(
         surrogate_key(["customer_id", "session_num"], "_").alias("session_id"),
         "customer_id",
@@ -177,9 +182,19 @@ def sessionize(events: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
 
 
 def sessions_of(target: DataFrame | None, events: DataFrame, changed: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
-    """The sessions afterwards: those of customers with new events are computed from all their events, so a late event leaves no orphans."""
+    """The sessions afterwards, the same as sessionize over all events gives.
+
+    Of a customer with new events, the sessions that ended more than the gap before the earliest of these stay, with their numbers; only events from the
+    first later session on are read again, so the work follows what is new and not the customer's history. Late events leave no orphans.
+    """
     if target is None:
         return sessionize(events, gap)
-    customers = changed.select("customer_id").distinct()
-    fresh = sessionize(events.join(customers, "customer_id", "left_semi"), gap)
-    return target.join(customers, "customer_id", "left_anti").unionByName(fresh.select(*target.columns))
+    earliest = changed.where(F.col("event_ts").isNotNull()).groupBy("customer_id").agg(F.min("event_ts").alias("_earliest"))
+    known = target.join(earliest, "customer_id")
+    settled = F.col("_earliest").cast("long") - F.col("last_event_ts").cast("long") > gap
+    past = known.groupBy("customer_id").agg(F.count_if(settled).alias("n_before"), F.min(F.when(~settled, F.col("first_event_ts"))).alias("_open"))
+    start = earliest.join(past, "customer_id", "left").select("customer_id", "n_before", F.least("_earliest", "_open").alias("_start"))
+    again = events.join(start.select("customer_id", "_start"), "customer_id").where(F.col("event_ts") >= F.col("_start")).drop("_start")
+    fresh = sessionize(again, gap, start.select("customer_id", "n_before"))
+    kept = target.join(start.select("customer_id", "_start"), "customer_id", "left").where(F.col("_start").isNull() | (F.col("first_event_ts") < F.col("_start")))
+    return kept.select(*target.columns).unionByName(fresh.select(*target.columns))

@@ -80,16 +80,15 @@ class Pipeline:
         top = watermark_of(new, column)
         if top is None:
             return None, {}
-        marks = {**self.store.state(table).get("watermark", {}), source: top.astimezone(timezone.utc).isoformat() if top.tzinfo else top.isoformat()}
-        return new, {"watermark": marks}
+        return new, {"watermark": {**self.store.state(table).get("watermark", {}), source: top}}
 
     def _with_former(self, table: str, source: str, key: str, changed: DataFrame, state: dict) -> tuple[DataFrame, dict]:
         """Also the changed rows as they were when this table was last brought up to date: a row that moves leaves a group, which is affected too."""
-        seen = self.store.state(table).get("seen_version")
-        state = state | {"seen_version": self.store.snapshot(source).version}
-        if seen is None:
+        seen = self.store.state(table).get("seen_version", {})
+        state = state | {"seen_version": {**seen, source: self.store.snapshot(source).version}}
+        if source not in seen:
             return changed, state
-        former = self.store.read(source, seen).join(changed.select(key).distinct(), key, "left_semi")
+        former = self.store.read(source, seen[source]).join(changed.select(key).distinct(), key, "left_semi")
         return changed.unionByName(former.select(*changed.columns)), state
 
     def _silver(self, t: SilverTable) -> str:
