@@ -1,16 +1,13 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by winnowing.
 
-The lines of a document that hold a word are hashed. Its windows are the shortest stretches of lines of min_words words from each line on, and
-up to each line. Of a window, the line with the least hash is its fingerprint, and the hash of the whole window the fingerprint's name. Two
-documents that share a run of lines of min_words words share the windows in it, hence their fingerprints, and these cover the run: none is
-missed, whatever other documents have of it.
+The unit that is hashed is a run of `gram` words, not a line as it stands: a passage that begins and ends inside lines holds no whole line, or none that
+another document has. Of the hashes in a window of min_words words the least is selected; neighbouring windows mostly agree on it, so a text has few
+distinct minima, and two texts that share min_words words running share the window, hence its minimum: fingerprints are guaranteed.
 
-Fingerprints are joined with the first place where they occur, the match is extended line by line both ways, and runs of min_words words or
-more that occur earlier in the corpus are deleted. Earlier is by document id, then by line. A line goes only where an earlier place
-holds it, so its first occurrence always stays, also where a run overlaps its own source in a text that repeats itself.
-
-dedup_words does the same without regard to lines: it finds every run of min_words words, wherever in a line it starts or ends. A window of that many
-words is only looked at where the least hash of its half-size runs occurs more than once, as it does wherever the window itself does.
+Fingerprints that occur once in the corpus are dropped. At the others, positions are joined: the windows that such a fingerprint was selected for are named
+by their own hash and meet the first place that has them. Matches are extended both ways, window by window, as far as an earlier place goes along, and
+the words of the later places are deleted. Earlier is by document id, then by position. A word goes only where an earlier place holds its run, so the first
+occurrence always stays, also where a run overlaps its own source in a text that repeats itself.
 """
 
 from __future__ import annotations
@@ -26,169 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import WORD, Scratch, tidy
-
-BLANKS = " \t\n\x0b\x0c\r"
-
-
-def line_spans(text: str) -> tuple[list[int], list[str], list[int]]:
-    """Of the lines that hold a word: the index among all lines, the line without blanks around it, and its words."""
-    at, lines, words = [], [], []
-    for i, line in enumerate(text.split("\n")):
-        if line := line.strip(BLANKS):
-            at.append(i)
-            lines.append(line)
-            words.append(len(line.encode().split()))
-    return at, lines, words
-
-
-def fingerprints(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """(name, line) of every window's minimum. hashes: unsigned 64-bit hashes of the lines."""
-    n, before = len(hashes), [0, *itertools.accumulate(words)]
-    if before[-1] < min_words:
-        return []
-    windows, i, j = set(), 0, 0
-    for i in range(n):  # from line i on
-        while j < n and before[j] - before[i] < min_words:
-            j += 1
-        if before[j] - before[i] < min_words:
-            break
-        windows.add((i, j))
-    i = 0
-    for j in range(1, n + 1):  # up to line j
-        while before[j] - before[i + 1] >= min_words:
-            i += 1
-        if before[j] - before[i] >= min_words:
-            windows.add((i, j))
-    packed = np.array(hashes, "<u8").tobytes()
-    return [(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j]), min(range(i, j), key=hashes.__getitem__)) for i, j in sorted(windows)]
-
-
-def extend(own: np.ndarray, source: np.ndarray, at: int, source_at: int) -> tuple[int, int]:
-    """The stretch [a, b) of own around `at` that equals source around `source_at`."""
-    shift = source_at - at
-    a, b = max(0, -shift), min(len(own), len(source) - shift)
-    same = own[a:b] == source[a + shift : b + shift]
-    different = np.flatnonzero(~same)
-    k = np.searchsorted(different, at - a)
-    return a + (int(different[k - 1]) + 1 if k else 0), a + (int(different[k]) if k < len(different) else len(same))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The rows of docs with the later repeats of runs removed from their texts, and removed_lines, removed_words (long) and
-    removed_runs array<struct<first_line, last_line, source>>: indexes of lines of the old text, both included, and the document that has
-    the run earlier. The text's length in chars_col follows, where docs have that column.
-
-    A null text stays null, a text whose lines all go becomes empty; no row is dropped. Runs below min_words words, and equal words that are not
-    whole lines, stay. Lines without words go only inside a run. A document's own repeats count. Rows with equal ids
-    are one place, whatever their texts: each loses what earlier documents have, and its own repeats. Rows with a null id are left as they are.
-    Input columns named like the new ones are replaced.
-
-    One pass over the texts gives hashes of lines, 8 bytes each; only these are joined. Each fingerprint meets its first place alone, so a
-    passage in m documents makes m rows. The texts are shuffled once, with what is to be removed.
-    """
-    scratch = Scratch(docs.sparkSession, "lines")
-    new = ["removed_lines", "removed_words", "removed_runs"]
-    docs = docs.drop(*[c for c in docs.columns if c in new])
-    kept = docs.columns
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                packed, marks = [], []
-                for text in part.column(2).to_pylist():
-                    _, lines, words = line_spans(text or "")
-                    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-                    found = fingerprints(hashes, words, min_words)
-                    packed.append(np.array(hashes, "<u8").tobytes())
-                    own: dict[int, int] = {}  # where the text itself has the window first
-                    for h, p in found:
-                        own[h] = min(p, own.get(h, p))
-                    marks.append([{"h": h - (1 << 63), "pos": p, "own": own[h]} for h, p in found])
-                kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("own", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.array(marks, kind)], names=["id", "t", "lines", "marks"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("x"))
-    scanned = scratch.put(texts.where("id IS NOT NULL").mapInArrow(tidy(scan), "id long, t long, lines binary, marks array<struct<h: long, pos: int, own: int>>"), "scan")
-
-    marks = scanned.select("id", "t", F.explode("marks").alias("m")).select("id", "t", "m.h", "m.pos", "m.own")
-    first = marks.groupBy("h").agg(F.min(F.struct("id", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
-    place = F.when(F.col("first.id") < F.col("id"), F.col("first")).otherwise(F.struct("id", "t", F.col("own").alias("pos")))
-    later = marks.join(first, "h").withColumn("place", place).where("place.id < id OR own < pos")
-    shifts = later.groupBy("id", "t", F.col("place.id").alias("src"), F.col("place.t").alias("src_t"), (F.col("place.pos") - F.col("pos")).alias("shift")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    shifts = scratch.put(shifts, "shifts")
-
-    # of the source's lines only those beside the document's own are sent: from line max(0, shift) on, as many as the document has
-    size = scanned.join(shifts.select("id", "t").distinct(), ["id", "t"], "left_semi").groupBy("id", "t").agg(F.max((F.octet_length("lines") / 8).cast("int")).alias("n"))
-    src_lines = scanned.select(F.col("id").alias("src"), F.col("t").alias("src_t"), "lines").join(shifts.select("src", "src_t").distinct(), ["src", "src_t"], "left_semi").groupBy("src", "src_t").agg(F.max("lines").alias("lines"))
-    beside = shifts.join(size, ["id", "t"]).join(src_lines, ["src", "src_t"])
-    beside = beside.select("id", "t", "src", "shift", "at", F.expr("substring(lines, 8 * greatest(0, shift) + 1, 8 * (n + least(0, shift)))").alias("beside"))
-    per_doc = beside.groupBy(F.col("id").alias("_key"), F.col("t").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("src", "shift", "at", "beside"))).alias("found"))
-
-    clash = {c: f"_{i}" for i, c in enumerate(kept)}  # neutral names, whatever the input's are
-    moved = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in clash.items()])
-    same = (F.col(clash[id_col]).cast("long") == F.col("_key")) & (F.xxhash64(clash[text_col]) == F.col("_hash"))
-    both = moved.join(per_doc, same, "left").drop("_key", "_hash")
-    chars = clash.get(chars_col) if chars_col else None
-    schema = ", ".join(f"`{a}` {t}" for a, t in moved.dtypes) + ", removed_lines long, removed_words long, removed_runs array<struct<first_line: int, last_line: int, source: long>>"
-    t_at = kept.index(text_col)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                texts, lines_n, words_n, runs = part.column(t_at).to_pylist(), [], [], []
-                for r, found in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                    done = remove(texts[r], found, min_words) if found and texts[r] else (texts[r], 0, 0, [])
-                    texts[r] = done[0]
-                    lines_n.append(done[1])
-                    words_n.append(done[2])
-                    runs.append([{"first_line": a, "last_line": b, "source": s} for a, b, s in done[3]])
-                cols = [part.column(c) for c in range(part.num_columns - 1)]
-                cols[t_at] = pa.array(texts, pa.string())
-                if chars:
-                    c = kept.index(chars_col)
-                    cols[c] = pa.array([None if t is None else len(t) for t in texts]).cast(cols[c].type)
-                kind = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("source", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(lines_n, pa.int64()), pa.array(words_n, pa.int64()), pa.array(runs, kind)], names=[*clash.values(), *new])
-
-    out = both.mapInArrow(tidy(cut), schema)
-    return out.select(*[F.col(a).alias(c) for c, a in clash.items()], *new)
-
-
-def remove(text: str, found: list[dict], min_words: int) -> tuple[str, int, int, list[tuple[int, int, int]]]:
-    """The text without the runs around the matches: the new text, lines and words removed, and the runs."""
-    at, lines, words = line_spans(text)
-    own = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], "<u8")
-    before = np.concatenate([[0], np.cumsum(words)])
-    gone, runs = np.zeros(len(own), bool), []
-    for f in found:
-        source, start = np.frombuffer(f["beside"], "<u8"), max(0, f["shift"])  # source[k] is the source's line start + k
-        reach = 0
-        for p in f["at"]:
-            if p < reach or p >= len(own):
-                continue
-            a, b = extend(own, source, p, p + f["shift"] - start)
-            reach = max(b, p + 1)
-            if before[b] - before[a] >= min_words and not gone[a:b].all():
-                gone[a:b] = True
-                runs.append((a, b, f["src"]))
-    if not runs:
-        return text, 0, 0, []
-    drop, raw = set(), text.split("\n")
-    a = 0
-    while a < len(gone):
-        if gone[a]:
-            b = a
-            while b + 1 < len(gone) and gone[b + 1]:
-                b += 1
-            drop.update(range(at[a], at[b] + 1))
-            a = b
-        a += 1
-    out = "\n".join(x for i, x in enumerate(raw) if i not in drop)
-    return out, len(drop), int(sum(w for w, g in zip(words, gone, strict=True) if g)), sorted((at[a], at[b - 1], s) for a, b, s in runs)
-
+from tidelake.llm.shared import WORD, Scratch, join_counted, tidy
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -223,26 +58,30 @@ def least_of(values: np.ndarray, n: int) -> np.ndarray:
     return values
 
 
-def word_windows(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of n words the hash and the least hash of its half-size runs, both signed; and all of those runs."""
-    k = (n + 1) // 2
+def winnow(words: np.ndarray, n: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of n words the hash and the least hash of its runs of `gram` words, both signed; and the hashes of all these runs."""
     if len(words) < n:
         return (np.zeros(0, np.int64),) * 3
-    runs = run_hashes(words, k) * np.uint64(0xFF51AFD7ED558CCD)
+    runs = run_hashes(words, gram) * np.uint64(0xFF51AFD7ED558CCD)
     runs ^= runs >> np.uint64(32)
     runs = (runs * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64)
-    return run_hashes(words, n).view(np.int64), least_of(runs, n - k + 1), runs
+    return run_hashes(words, n).view(np.int64), least_of(runs, n - gram + 1), runs
 
 
-def dedup_words(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """As dedup_lines, but runs may start and end inside lines: every word goes that stands in a run of min_words words which an earlier place has.
+def dedup_words(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of docs without the words that stand in a run of min_words words which an earlier place has, and removed_lines, removed_words (long) and
+    removed_runs array<struct<first_line, last_line, source>>: the lines of the old text that a run touches, both included, and the document that has
+    it earlier. removed_lines counts the lines that lose all their words. The text's length in chars_col follows, where docs have that column.
 
-    Words are equal where lines and blanks between them differ. removed_lines counts the lines that lose all their words, and removed_runs has the lines
-    that a run touches. Rows with equal ids are one place, whatever their texts: each loses what earlier documents have, and its own repeats.
+    Words are what ASCII white space parts, and equal where the lines and blanks between them differ. A null text stays null, a text whose words all go
+    becomes empty; no row is dropped. Runs below min_words words stay. A document's own repeats count. Rows with equal ids are one place, whatever
+    their texts: each loses what earlier documents have, and its own repeats. Rows with a null id are left as they are. Ids are numbers, or texts of
+    such. Input columns named like the new ones are replaced.
 
     Three passes over the texts: for the fingerprints, for the windows beside one that occurs twice, and for the cut. Each window meets the least id that
-    has it alone, so a passage in m documents makes m rows.
+    has it alone, so a passage in m documents makes m rows; those of very common fingerprints and passages are not shuffled to one task.
     """
+    gram = min(gram, min_words)
     scratch = Scratch(docs.sparkSession, "words")
     new = ["removed_lines", "removed_words", "removed_runs"]
     docs = docs.drop(*[c for c in docs.columns if c in new])
@@ -255,7 +94,7 @@ def dedup_words(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
                 part = batch.slice(i, 512)
                 ids, ts, marks, times = [], [], [], []
                 for k, t, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), word_hashes(part.column(2).to_pylist()), strict=True):
-                    _, least, runs = word_windows(words, min_words)
+                    _, least, runs = winnow(words, min_words, gram)
                     found = np.unique(least)
                     values, n = np.unique(runs, return_counts=True)
                     marks.append(found)
@@ -265,8 +104,8 @@ def dedup_words(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (ids, ts, marks, times)], names=["id", "t", "f", "n"])
 
     marks = scratch.put(texts.mapInArrow(tidy(scan), "id long, t long, f long, n long"), "marks")
-    often = marks.groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f")
-    near = marks.select("id", "t", "f").distinct().join(often, "f").groupBy("id", "t").agg(F.collect_list("f").alias("fs"))
+    often = marks.groupBy("f").agg(F.sum("n").alias("n")).where("n > 1")
+    near = join_counted(marks.select("id", "t", "f"), scratch.put(often, "often"), "f", "n").groupBy("id", "t").agg(F.collect_set("f").alias("fs"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +114,7 @@ def dedup_words(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 fs = part.column(3)
                 for r, words in enumerate(word_hashes(part.column(2).to_pylist())):
-                    whole, least, _ = word_windows(words, min_words)
+                    whole, least, _ = winnow(words, min_words, gram)
                     at = np.flatnonzero(np.isin(least, fs[r].values.to_numpy()))
                     _, first, which = np.unique(whole[at], return_index=True, return_inverse=True)
                     for c, v in zip(cols, (whole[at], np.full(len(at), part.column(0)[r].as_py()), np.full(len(at), part.column(1)[r].as_py()), at, at[first[which]] < at), strict=True):
@@ -284,8 +123,8 @@ def dedup_words(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
 
     windows = texts.join(near, ["id", "t"]).select("id", "t", "x", "fs")
     windows = scratch.put(windows.mapInArrow(tidy(spread), "h long, id long, t long, pos int, own boolean"), "windows")
-    first = windows.groupBy("h").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "src")
-    later = windows.join(first, "h").where("src < id OR own")
+    first = windows.groupBy("h").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = join_counted(windows, scratch.put(first, "first"), "h", "n").where("src < id OR own")
     per_doc = later.groupBy(F.col("id").alias("_key"), F.col("t").alias("_hash")).agg(F.sort_array(F.collect_set(F.struct("pos", "src"))).alias("found"))
 
     clash = {c: f"_{i}" for i, c in enumerate(kept)}

@@ -73,7 +73,7 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    deduped = line_dedup.dedup_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return deduped.select("doc_id", "removed_lines", "removed_words", "text")
 
 
@@ -171,26 +171,23 @@ ORACLES = {
         FROM placed""",
     "op5_quality_rules": quality.oracle_sql(),
     "op8_line_dedup": r"""
-        WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS r FROM documents),
-        kept AS (
-            SELECT doc_id, r, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS i,
-                   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-        summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM kept),
-        spans AS (
-            SELECT a.doc_id, a.i AS i, min(b.i) AS j FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - (a.c - a.w) >= 50 GROUP BY ALL
-            UNION SELECT b.doc_id, max(a.i) AS i, b.i AS j FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - (a.c - a.w) >= 50 GROUP BY b.doc_id, b.i),
-        lists AS (SELECT doc_id, list(x ORDER BY i) AS xs FROM kept GROUP BY 1),
-        windows AS (SELECT doc_id, i, j, array_to_string(xs[i:j], chr(10)) AS content FROM spans JOIN lists USING (doc_id)),
-        ordered AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS k FROM windows),
-        gone AS (SELECT DISTINCT s.doc_id, s.i FROM summed s JOIN ordered o ON o.doc_id = s.doc_id AND s.i BETWEEN o.i AND o.j WHERE o.k > 1),
-        marked AS (SELECT s.doc_id, s.r, s.w, g.i IS NOT NULL AS gone FROM summed s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.i = s.i),
-        sided AS (
-            SELECT raw.doc_id, raw.r, raw.line, m.gone, m.w, last_value(m.gone IGNORE NULLS) OVER (PARTITION BY raw.doc_id ORDER BY raw.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-                   first_value(m.gone IGNORE NULLS) OVER (PARTITION BY raw.doc_id ORDER BY raw.r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
-            FROM raw LEFT JOIN marked m ON m.doc_id = raw.doc_id AND m.r = raw.r),
-        dropped AS (SELECT *, coalesce(gone, coalesce(before, false) AND coalesce(after, false)) AS d FROM sided),
-        result AS (SELECT doc_id, count(*) FILTER (d) AS removed_lines, coalesce(sum(w) FILTER (gone), 0) AS removed_words, coalesce(string_agg(line, chr(10) ORDER BY r) FILTER (NOT d), '') AS text FROM dropped GROUP BY 1)
-        SELECT documents.doc_id, coalesce(removed_lines, 0) AS removed_lines, CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words, result.text AS text FROM documents LEFT JOIN result USING (doc_id)""",
+        WITH cut AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split_regex(text, '[^\x20\x09-\x0D]+') AS g FROM documents WHERE text IS NOT NULL),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS run FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM cut)),
+        later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, generate_series(0, 49) AS s(k)),
+        placed AS (SELECT doc_id, unnest(generate_series(1, len(w) + 1)) AS i, unnest(list_append(w, '')) AS word, unnest(g) AS gap, len(w) AS n FROM cut WHERE len(w) > 0),
+        marked AS (
+            SELECT p.*, gone.i IS NOT NULL AS out, sum(length(gap) - length(replace(gap, chr(10), ''))) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS line
+            FROM placed p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i),
+        firsts AS (SELECT *, lag(i, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM marked WHERE NOT out),
+        glued AS (
+            SELECT f.doc_id, f.i, f.word, f.n, CASE WHEN before = f.i - 1 OR contains(m.gap, chr(10)) OR NOT contains(f.gap, chr(10)) THEN m.gap ELSE f.gap END AS gap
+            FROM firsts f JOIN marked m ON m.doc_id = f.doc_id AND m.i = f.before + 1),
+        texts AS (SELECT doc_id, CASE WHEN count(*) = 1 THEN '' ELSE string_agg(gap || word, '' ORDER BY i) END AS text FROM glued GROUP BY doc_id),
+        counted AS (SELECT doc_id, count(*) FILTER (out) AS removed_words FROM marked GROUP BY doc_id),
+        emptied AS (SELECT doc_id, count(*) AS removed_lines FROM (SELECT doc_id, line FROM marked WHERE i <= n GROUP BY doc_id, line HAVING bool_and(out)) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_words, 0) AS removed_words, coalesce(t.text, d.text) AS text
+        FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT JOIN emptied USING (doc_id)""",
     "op7_url_rules": r"""
         WITH cut AS (
             SELECT page_id,

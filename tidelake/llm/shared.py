@@ -111,6 +111,18 @@ class Memo:
         return out
 
 
+def join_counted(rows: DataFrame, keys: DataFrame, key: str, n: str, share: int = 4096) -> DataFrame:
+    """rows joined with keys, which has one row for a key and counts its rows in column n.
+
+    Keys with more than one part in `share` of all counted rows can only be fewer than `share`, so these are broadcast, and their rows stay where they are;
+    only the rows of the other keys are shuffled. So no key, however hot, lands in one task. Both sides are read twice: give written tables.
+    """
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(keys.where(F.col(n) * share > total))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keys.where(F.col(n) * share <= total), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def pair_blocks(members: DataFrame, group: list[str], key: str, block: int) -> DataFrame:
     """Deals the rows of each group to pairs of blocks, so that every two rows of a group meet in exactly one (group, lo, hi).
 
