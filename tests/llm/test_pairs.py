@@ -2,7 +2,8 @@
 
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -65,10 +66,11 @@ def corpus():
     return out + [None, "", "  \n", "one", "one", "a b", "x " * 3000]
 
 
-def test_ngram_join(spark):
+@pytest.mark.parametrize("crowded", [3, 16, 10**6])
+def test_ngram_join(spark, crowded):
     texts = corpus()
     rows = [(i, t, "n", 1) for i, t in enumerate(texts)] + [(None, "no id at all", "n", 1)]
-    out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string, rep string, size int").repartition(5), block=16)
+    out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string, rep string, size int").repartition(5), crowded=crowded, block=16)
     found = {r.doc_id: r for r in out.collect()}
     sets = [shingles(t) for t in texts]
     links = [(a, b) for b in range(len(texts)) for a in range(b) if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
@@ -84,6 +86,19 @@ def test_ngram_join(spark):
         assert found[i].class_id == (words.index(w) if w else i)
 
 
+def test_row_order_is_of_no_account(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    a, b = [word() for _ in range(60)], [word() for _ in range(60)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a[:-1], "x"])), (9, " ".join([*b[:-1], "x"])), (11, "else")]
+    found = set()
+    for k in range(3):
+        rng.shuffle(rows)
+        out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(k + 1)).collect()
+        found.add(tuple(sorted((r.doc_id, r.component_id, r.n_links, r.kept) for r in out)))
+    assert found == {((5, 5, 1, True), (5, 5, 1, True), (7, 5, 1, False), (9, 5, 1, False), (11, 11, 0, True))}
+
+
 def test_ngram_join_odd_inputs(spark):
     schema = "doc_id long, text string"
     assert ngram_join.similar_documents(spark.createDataFrame([], schema)).collect() == []
@@ -92,10 +107,31 @@ def test_ngram_join_odd_inputs(spark):
     assert sorted((r.doc_id, r.class_id, r.component_id, r.kept) for r in twice) == [(5, 5, 5, True), (5, 5, 5, True), (9, 5, 5, False)]
 
 
-def test_forest_depth_reaches_the_recall():
+def test_prefixes_are_shortened_until_the_recall():
+    t = Fraction(4, 5)
     for recall in (0.9, 0.99, 0.9999):
-        k = ngram_join.forest_depth(0.8, 32, 8, recall)
+        k = ngram_join.closing_depth(0.8, 32, 8, recall)
         assert 1 - (1 - 0.8**k) ** 32 >= recall and (k == 8 or 1 - (1 - 0.8 ** (k + 1)) ** 32 < recall)
+    depths = ngram_join.closing_depths(t, 32, 8, 0.9999)
+    assert depths.min() == depths[-1] == ngram_join.closing_depth(0.8, 32, 8, 0.9999) and depths[3] == 8 and len(set(depths.tolist())) > 1
+    for n in range(1, 40):
+        have = [Fraction(k, n + m - k) for m in range(1, 2 * n) for k in range(1, min(n, m) + 1)]
+        assert ngram_join.least_similarity(n, t) == pytest.approx(float(min(x for x in have if x >= t)))
+
+
+def test_sketches_agree_as_often_as_sets_are_alike():
+    rng = np.random.default_rng(5)
+    for n in (1, 6, 40, 700):
+        agree = []
+        for _ in range(60):
+            both = rng.integers(0, 1 << 62, n * 9, dtype=np.uint64)
+            a, b = np.unique(both[: n * 8]), np.unique(both[n:])  # 7 of 9 parts are shared
+            x, y = ngram_join.sketches([a, b], 256)
+            agree.append((x == y).mean())
+        assert np.mean(agree) == pytest.approx(7 / 9, abs=0.05)
+    assert ngram_join.sketches([], 256).shape == (0, 256)
+    one = ngram_join.paths(ngram_join.sketches([a, a, b], 256), 32)
+    assert (one[0] == one[1]).all() and ngram_join.share_prefix(one[0], one[2], np.full(32, 1)).sum() >= ngram_join.share_prefix(one[0], one[2], np.full(32, 8)).sum()
 
 
 def vectors(rng, n, labels, dims=16):

@@ -1,12 +1,15 @@
-"""N-gram Jaccard join by MinHash LSH bands with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Documents are sets of word shingles. Documents with the same words are one class, and only class representatives are joined. In place of
-a forest of `trees` prefix trees there are as many bands of one length k, fixed before any data: the longest up to `deepest` with which two
-documents at the threshold s meet in some band with the target recall, 1 - (1 - s^k)^trees. Documents with an equal band share a bucket, found
-by sorting the bands' hashes.
+Documents are sets of word shingles. Documents with the same words are one class, and only class representatives are joined. A sketch of trees * deepest
+MinHash values gives each of them a path of `deepest` values in every tree, a byte a value. Sorted, a tree's paths are its prefix trie: documents under one
+node stand beside each other, and the longest common prefix of two is the least of those between neighbours.
 
-Small buckets give pairs. A large bucket gives only a star, each member with the smallest one; the stars' components are compared within, in
-pairs of blocks of documents whose sizes allow a link. Either way the similarity is computed from the shingles themselves, as 64-bit hashes.
+Matching starts with whole paths, and prefixes are shortened document by document until the recall is met: that of the least similar partner a document
+of its size can have, 1 - (1 - s^k)^trees for s at or above the threshold. Small documents can only link at some high similarities, so they close at longer prefixes
+than large ones. Two documents are compared if they share, in some tree, a prefix at which one of them is still open.
+
+Every such pair is verified by the shingles themselves, as 64-bit hashes. Nodes of few documents give pairs. The documents of a crowded node are tied to its
+first one instead, and what is tied together is compared with each other block by block, as sets in matrices: the same pairs and more of the like, none less.
 """
 
 from __future__ import annotations
@@ -25,19 +28,38 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.shared import Scratch, connected_components, local_components, pair_blocks, tidy
 
-#: Buckets up to this size give their pairs.
-SMALL = 16
+#: Nodes up to this many documents give their pairs one by one, more crowded ones by blocks.
+CROWDED = 16
+#: Shingles of a block, which bounds a comparison's memory however long the texts are.
+BLOCK_SHINGLES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def forest_depth(threshold: float, trees: int, deepest: int, recall: float) -> int:
-    """The longest prefix that reaches the target recall at the threshold."""
+def least_similarity(n: int, threshold: Fraction) -> float:
+    """The least Jaccard similarity of the threshold or more that a set of n shingles can have with another one."""
+    if n > 200:
+        return float(threshold)
+    best = Fraction(1)
+    for other in range(1, int(n / threshold) + 1):
+        least = -(-threshold * (n + other) // (1 + threshold))  # shared / (n + other - shared) >= threshold
+        if least <= min(n, other):
+            best = min(best, Fraction(int(least), int(n + other - least)))
+    return float(best)
+
+
+def closing_depth(similarity: float, trees: int, deepest: int, recall: float) -> int:
+    """The longest prefix with which a pair of this similarity meets in some tree with the target recall."""
     depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def closing_depths(threshold: Fraction, trees: int, deepest: int, recall: float) -> np.ndarray:
+    """By the number of shingles, up to 201, which stands for all larger numbers: how long prefixes are when a document closes."""
+    return np.array([deepest] + [closing_depth(least_similarity(n, threshold), trees, deepest, recall) for n in range(1, 202)])
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -68,24 +90,45 @@ def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-class Forest:
-    """Signatures: for each tree the hash of its `depth` MinHash values, and a byte of every MinHash value for estimates."""
-
-    def __init__(self, trees: int, depth: int, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        self.trees, self.depth = trees, depth
-        self.a = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
-        self.salt = rng.integers(0, 1 << 63, trees, dtype=np.uint64)
+def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """A MinHash sketch of `size` values for each set that is not empty.
 
-    def sign(self, shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-        low = np.full(len(self.a), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for i in range(0, len(shingles), 1024):
-            low = np.minimum(low, (shingles[i : i + 1024, None] * self.a + self.b).min(0))
-        key = self.salt.copy()
-        for column in low.reshape(self.trees, self.depth).T:
-            key = _mixed(key * _MIX + column)
-        return key.view(np.int64), (_mixed(low) >> np.uint64(56)).astype(np.uint8).tobytes()
+    In a round every shingle is hashed to one place, which keeps the least hash; places that stay empty are filled by later rounds, and after `size` rounds each
+    place gets a round of its own. A place agrees for two sets with the probability of their Jaccard similarity, as with a hash function of its own, but
+    a set of n shingles costs about n + size * log(size) hashes in place of n * size.
+    """
+    out = np.full(len(sets) * size, np.uint64(0xFFFFFFFFFFFFFFFF))
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    todo = np.array([len(s) > 0 for s in sets], bool)
+    for r in range(2 * size):
+        if not len(flat):
+            break
+        h = _mixed(flat ^ np.uint64((r + 1) * int(_MIX) & 0xFFFFFFFFFFFFFFFF))
+        place = (h >> np.uint64(50)).astype(np.int64) % size if r < size else r - size
+        np.minimum.at(out, who * size + place, (h & np.uint64((1 << 48) - 1)) | np.uint64(r << 48))
+        left = np.flatnonzero(todo)
+        done = left[(out.reshape(-1, size)[left] != np.uint64(0xFFFFFFFFFFFFFFFF)).all(1)]
+        if len(done):
+            todo[done] = False
+            stay = todo[who]
+            flat, who = flat[stay], who[stay]
+    return out.reshape(-1, size)
+
+
+def paths(sketch: np.ndarray, trees: int) -> np.ndarray:
+    """For each sketch its path in every tree: a byte of each of up to eight values, the first one on top of a 64-bit number."""
+    step = sketch.shape[1] // trees
+    byte = (_mixed(sketch + np.uint64(1)) >> np.uint64(56)).reshape(-1, trees, step)
+    out = np.zeros(byte.shape[:2], np.uint64)
+    for level in range(8):
+        out = out << np.uint64(8) | (byte[:, :, level] if level < step else np.uint64(0))
+    return out.view(np.int64)
+
+
+def share_prefix(a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Whether two paths agree on the first `depth` values (1 to 8)."""
+    return ((a ^ b).view(np.uint64) >> (64 - 8 * depth).astype(np.uint64)) == 0
 
 
 def jaccard_links(inter: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -124,6 +167,7 @@ def similar_documents(
     trees: int = 32,
     deepest: int = 8,
     recall: float = 0.9999,
+    crowded: int = CROWDED,
     block: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -138,28 +182,30 @@ def similar_documents(
     shingles: they link with nothing, not even each other. Rows with equal ids are judged by their own texts; where several texts have the same smallest id, they are one component. Rows with a
     null id link with nothing and are kept, with null class and component. Other columns are not read. An empty table gives no rows.
 
-    recall is that of the search, for a pair exactly at the threshold; more similar pairs are found more surely, and what is found is verified. No
-    bucket, group or partner is capped: a bucket of any size is streamed, and a component of large buckets is compared block by block.
+    recall is that of the search, for a pair exactly at the threshold; more similar pairs are found more surely, and whatever is found is verified. No
+    bucket, group or partner is capped, and no pair is left out by an estimate. crowded and block only choose how pairs are compared. Ids are numbers, or
+    texts of such.
     """
+    if deepest > 8:
+        raise ValueError("a path has eight values at most")
     scratch = Scratch(docs.sparkSession, "ngrams")
-    depth, t = forest_depth(threshold, trees, deepest, recall), Fraction(str(threshold))
+    t = Fraction(str(threshold))
+    closing = closing_depths(t, trees, deepest, recall)
+    shortest = int(closing.min())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest(trees, depth)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 values = part.column(1).to_pylist()
                 sets = shingle_sets(values, words)
                 same = [xxhash.xxh3_128_digest(b" ".join(x.encode().split())) for x in values]
-                signed = [forest.sign(s) if len(s) else (np.zeros(0, np.int64), b"") for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([k.tolist() for k, _ in signed], pa.list_(pa.int64())), pa.array([b for _, b in signed], pa.binary())],
-                    names=["id", "same", "n", "keys", "bytes"],
-                )
+                laid = paths(sketches(sets, trees * deepest), trees)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * trees, pa.int32()), pa.array(laid.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), keys], names=["id", "same", "n", "keys"])
 
-    signed = texts.where("id IS NOT NULL").mapInArrow(tidy(sign), "id long, same binary, n int, keys array<long>, bytes binary")
+    signed = texts.where("id IS NOT NULL").mapInArrow(tidy(sign), "id long, same binary, n int, keys array<long>")
     signed = scratch.put(signed, "signed")
     members = signed.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("n").alias("_n"))
     # a class is a node, named by its smallest id; classes that have this id too get a name beyond the ids
@@ -167,101 +213,101 @@ def similar_documents(
     turn = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("_n").desc(), "same"))
     members = members.withColumn("node", F.when(turn == 1, F.col("rep")).otherwise(beyond)).drop("_n")
     members = scratch.put(members, "members")
-    reps = signed.join(members, "same").where("id = rep AND n > 0").dropDuplicates(["node"]).select(F.col("node").alias("rep"), "size", "n", "keys", "bytes")
+    reps = signed.join(members, "same").where("id = rep AND n > 0").dropDuplicates(["node"]).select(F.col("node").alias("rep"), "size", "n", "keys")
     reps = scratch.put(reps, "reps")
 
+    up = np.uint64(64 - 8 * shortest)
+    columns = ["tree", "path", "id", "n", "weight", "head"]
+
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, id, n, weight) for each tree. Of a key that many rows of a batch have, its smallest id stands for all, the others are tied to it."""
+        """A document's path in each tree. Of a node that is crowded within a batch already, the first document stands for all, the others are tied to it."""
         for batch in batches:
             rep, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keys = batch.column(2).flatten().to_numpy()
+            path = batch.column(2).flatten().to_numpy()
+            tree = np.tile(np.arange(trees, dtype=np.int32), len(rep))
             who = np.repeat(np.arange(len(rep)), trees)
-            order = np.lexsort((rep[who], keys))
-            keys, who = keys[order], who[order]
-            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            count = np.diff(np.append(start, len(keys)))
+            node = path.view(np.uint64) >> up
+            order = np.lexsort((rep[who], node, tree))
+            tree, path, who, node = tree[order], path[order], who[order], node[order]
+            start = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (tree[1:] != tree[:-1])])) if len(node) else np.zeros(0, np.int64)
+            count = np.diff(np.append(start, len(node)))
             size, first = np.repeat(count, count), np.repeat(start, count)
-            hot = (size > SMALL) & (np.arange(len(keys)) != first)
-            tied, heads = who[hot], who[first[hot]]
-            left = ~hot
-            weight = np.where(size > SMALL, size, 1)[left]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[left]), pa.array(rep[who[left]]), pa.array(n[who[left]], pa.int32()), pa.array(weight, pa.int64()), pa.nulls(int(left.sum()), pa.int64())], names=["key", "id", "n", "weight", "head"])
-            pairs = np.unique(np.stack([rep[tied], rep[heads]], 1), axis=0) if len(tied) else np.zeros((0, 2), np.int64)
-            if len(pairs):  # these pass by the buckets: each has a key of its own
-                own = _mixed(pairs[:, 0].astype(np.uint64) * _MIX).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(pairs[:, 0]), pa.array(np.zeros(len(pairs)), pa.int64()).cast(pa.int32()), pa.array(np.zeros(len(pairs), np.int64)), pa.array(pairs[:, 1])], names=["key", "id", "n", "weight", "head"])
-
-    planted = reps.select("rep", "n", "keys").mapInArrow(tidy(plant), "key long, id long, n int, weight long, head long")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = planted.repartition(parts, "key").sortWithinPartitions("key", "id")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of small buckets and stars of large ones, from rows sorted by key. Holds at most SMALL + 1 rows."""
-        a, b, star = [], [], []
-        key, held, weight = None, [], 0
-
-        def close() -> None:
-            if weight <= SMALL:
-                for j in range(1, len(held)):
-                    for i in range(j):
-                        x, y = held[i][1], held[j][1]
-                        if held[i][0] != held[j][0] and min(x, y) * t.denominator >= max(x, y) * t.numerator:
-                            a.append(held[i][0])
-                            b.append(held[j][0])
-                            star.append(False)
-
-        def tie(ids: list[int]) -> None:
-            for x in ids:
-                if x != held[0][0]:
-                    a.append(held[0][0])
-                    b.append(x)
-                    star.append(True)
+            tied = (size > crowded) & (np.arange(len(node)) != first)
+            left = ~tied
+            rows = [tree[left], path[left], rep[who[left]], n[who[left]], np.where(size > crowded, size, 1)[left]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(rows, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)), pa.nulls(int(left.sum()), pa.int64())], names=columns)
+            pairs = np.unique(np.stack([rep[who[tied]], rep[who[first[tied]]]], 1), axis=0) if tied.any() else np.zeros((0, 2), np.int64)
+            if len(pairs):  # these pass by the trees
+                zero = np.zeros(len(pairs), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(zero - 1).cast(pa.int32()), pa.array(_mixed(pairs[:, 0].astype(np.uint64) * _MIX).view(np.int64)), pa.array(pairs[:, 0]), pa.array(zero).cast(pa.int32()), pa.array(zero), pa.array(pairs[:, 1])], names=columns)
+
+    planted = reps.select("rep", "n", "keys").mapInArrow(tidy(plant), "tree int, path long, id long, n int, weight long, head long")
+    node = F.shiftrightunsigned("path", int(up))
+    trie = planted.withColumn("node", node).repartition("tree", "node").drop("node").sortWithinPartitions("tree", "path", "id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs and ties of each node, from paths in their order. Holds a batch, and of a node that goes on in the next one its rows, or its first row if it is crowded."""
+        held = [np.zeros(0, np.int64)] * 5
+
+        def nodes(rows: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+            tree, path, ids, n, weight = rows
+            if not len(tree):
+                return [], rows
+            at = path.view(np.uint64) >> up
+            start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (tree[1:] != tree[:-1])]))
+            count = np.diff(np.append(start, len(tree)))
+            total, begin, number = np.repeat(np.add.reduceat(weight, start), count), np.repeat(start, count), np.repeat(np.arange(len(start)), count)
+            out = []
+            full = total > crowded
+            away = full & (ids != ids[begin])
+            if away.any():
+                out.append(np.stack([ids[begin[away]], ids[away], np.ones(int(away.sum()), np.int64)], 1))
+            if not last:  # the last node may go on: what is left of it is looked at again
+                full |= number == number[-1]
+            close = closing[np.minimum(n, len(closing) - 1)]
+            for gap in range(1, int(count[~full[start]].max(initial=0))):
+                i = np.flatnonzero((number[gap:] == number[:-gap]) & ~full[gap:])
+                j = i + gap
+                like = np.minimum(n[i], n[j]) * t.denominator >= np.maximum(n[i], n[j]) * t.numerator
+                ok = like & (ids[i] != ids[j]) & share_prefix(path[i], path[j], np.minimum(close[i], close[j]))
+                if ok.any():
+                    x, y = ids[i[ok]], ids[j[ok]]
+                    out.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), np.int64)], 1))
+            if last:
+                return out, [x[:0] for x in rows]
+            keep = np.arange(start[-1], len(tree))
+            if total[-1] > crowded:
+                keep = keep[:1]
+            left = [x[keep] for x in rows]
+            if total[-1] > crowded:
+                left[4] = np.array([total[-1]])
+            return out, left
+
+        def found(out: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "star"])
 
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for k, i, n, w, head in zip(*cols, strict=True):
-                if head is not None:
-                    a.append(head)
-                    b.append(i)
-                    star.append(True)
-                    continue
-                if k != key:
-                    close()
-                    key, held, weight = k, [], 0
-                if weight <= SMALL:
-                    held.append((i, n))
-                    weight += w
-                    if weight > SMALL:
-                        tie([x for x, _ in held[1:]])
-                else:
-                    weight += w
-                    tie([i])
-            if len(a) >= 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(star, pa.bool_())], names=["a", "b", "star"])
-                a, b, star = [], [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(star, pa.bool_())], names=["a", "b", "star"])
-
-    met = sorted_.mapInArrow(tidy(gather), "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+            tree = batch.column(0).to_numpy().astype(np.int64)
+            tied = tree < 0
+            ids = batch.column(2).to_numpy()
+            out = []
+            if tied.any():
+                head = batch.column(5).filter(pa.array(tied)).to_numpy()
+                out.append(np.stack([head, ids[tied], np.ones(len(head), np.int64)], 1))
+            new = [x[~tied] for x in (tree, batch.column(1).to_numpy(), ids, batch.column(3).to_numpy().astype(np.int64), batch.column(4).to_numpy())]
+            more, held = nodes([np.concatenate(x) for x in zip(held, new, strict=True)], False)
+            yield found(out + more)
+        yield found(nodes(held, True)[0])
+
+    met = trie.mapInArrow(tidy(walk), "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
     met = scratch.put(met, "met")
 
-    # large buckets: components of their stars
+    # crowded nodes: components of what is tied
     groups = scratch.put(connected_components(met.where("star").select("a", "b"), scratch, "stars"), "groups")
     pairs = met.where("NOT star").select("a", "b")
     pairs = pairs.join(groups.toDF("a", "ra"), "a", "left").join(groups.toDF("b", "rb"), "b", "left").where("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")
 
-    # an estimate from bytes of the MinHash values saves fetching the shingles of pairs that are far from the threshold (by six deviations)
-    total = trees * depth
-    least = int(total * (threshold - 6 * math.sqrt(threshold * (1 - threshold) / total)))
-    brief = reps.select("rep", "bytes")
-
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, total) for i in (2, 3))
-            near = (x == y).sum(1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
-
-    pairs = pairs.join(brief.toDF("a", "x"), "a").join(brief.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidy(estimate), "a long, b long")
     pairs = scratch.put(pairs, "pairs")
 
     wanted = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("node")).distinct(), "wanted")
@@ -289,7 +335,7 @@ def similar_documents(
     sets = near.join(wanted, "id").select("t", "nodes").mapInArrow(tidy(fetch), "id long, s binary").groupBy("id").agg(F.max("s").alias("s"))
     sets = scratch.put(sets.join(members.select(F.col("node").alias("id"), "size"), "id"), "sets")
 
-    # small buckets: each pair by itself, beside the document that more pairs share
+    # other nodes: each pair by itself
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -307,12 +353,13 @@ def similar_documents(
     one, two = (sets.toDF(c, f"s{c}", f"n{c}") for c in "ab")
     verified = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(tidy(verify), "node long, links long, root long")
 
-    # large buckets: documents of like size within a component, block against block
+    # documents of like size within a component, block against block
     step = math.log(1 / (threshold - 1e-6))
     sized = groups.select(F.col("node").alias("id"), "root").join(reps.select(F.col("rep").alias("id"), "n"), "id")
     level = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
     sized = sized.withColumn("level", level).withColumn("group", F.explode(F.array(F.col("level"), F.col("level") - 1))).withColumn("home", F.col("level") == F.col("group"))
-    blocks = pair_blocks(sized.select("root", "group", "id", "home"), ["root", "group"], "id", block).join(sets, "id")
+    room = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_SHINGLES) / F.max("n"))))
+    blocks = pair_blocks(sized.select("root", "group", "id", "home", "n"), ["root", "group"], "id", room).drop("n").join(sets, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, home, side = (pdf[c].to_numpy() for c in ("id", "size", "home", "side"))

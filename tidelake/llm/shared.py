@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, wherever these operators count or compare words: a run of characters that are not ASCII white space.
@@ -123,10 +123,10 @@ def join_counted(rows: DataFrame, keys: DataFrame, key: str, n: str, share: int
     return rows.join(hot, key).unionByName(rest)
 
 
-def pair_blocks(members: DataFrame, group: list[str], key: str, block: int) -> DataFrame:
+def pair_blocks(members: DataFrame, group: list[str], key: str, block: int | Column) -> DataFrame:
     """Deals the rows of each group to pairs of blocks, so that every two rows of a group meet in exactly one (group, lo, hi).
 
-    A group of m rows has ceil(m / block) blocks, by a hash of the key; each row goes to as many pairs as there are blocks. side tells the
+    A group of m rows has ceil(m / block) blocks (block: a number, or an aggregate over the group), by a hash of the key; each row goes to as many pairs as there are blocks. side tells the
     two blocks of a pair apart; it is -1 where the pair is a block with itself.
     """
     names = {c: f"_g{i}" for i, c in enumerate(group)}
