@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tidelake.llm import line_dedup, metric_join, ngram_join
-from tidelake.llm.shared import Scratch, connected_components
+from tidelake.llm.shared import Scratch, connected_components, word_hashes
 
 
 def reach(nodes, links):
@@ -41,6 +41,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).collect() == []
 
 
+def test_word_hashes():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b", "é", "\u00a0", "日", " ", "\n", "\t", "\x0b", "  "]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", " ", "x" * 3000, "w " * 500]
+    names = {}
+    for chunk in (8, 1 << 19):
+        for t, got in zip(texts, word_hashes(texts, chunk), strict=True):
+            words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            assert len(words) == len(got)
+            for w, h in zip(words, got.tolist(), strict=True):
+                assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names) > 300 and word_hashes([]) == []
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()

@@ -12,32 +12,19 @@ occurrence always stays, also where a run overlaps its own source in a text that
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import WORD, Scratch, join_counted, tidy
+from tidelake.llm.shared import WORD, Scratch, join_counted, tidy, word_hashes
 
 _MIX = 0x9E3779B97F4A7C15
 
 
-def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """64-bit hashes of each text's words."""
-    cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-    coded = cut.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    hashes, full = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64), np.array([bool(w) for w in names], bool)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    return [hashes[codes[a:b]][full[codes[a:b]]] if b > a else np.zeros(0, np.uint64) for a, b in itertools.pairwise(cut.offsets.to_numpy().tolist())]
-
-
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """The hash of the n words from each word on."""
     if n == 1:

@@ -21,12 +21,11 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import Scratch, connected_components, local_components, pair_blocks, tidy
+from tidelake.llm.shared import Scratch, connected_components, local_components, pair_blocks, tidy, word_hashes
 
 #: Nodes up to this many documents give their pairs one by one, more crowded ones by blocks.
 CROWDED = 16
@@ -68,15 +67,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: runs of `words` words; a shorter text with a word is one shingle."""
-    cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-    coded = cut.flatten().dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    full = np.array([bool(w) for w in coded.dictionary.to_pylist()], bool)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    out, offsets = [], cut.offsets.to_numpy()
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        at = codes[a:b]
-        h = hashes[at][full[at]] if len(at) else np.zeros(0, np.uint64)
+    out = []
+    for h in word_hashes(texts):
         k = min(words, len(h))
         if not k:
             out.append(np.zeros(0, np.uint64))

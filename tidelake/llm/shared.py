@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
 import os
 import tempfile
 import uuid
@@ -86,6 +87,44 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_LETTERS = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, np.uint64(base))
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def word_hashes(texts: list[str | None], chunk: int = 1 << 19) -> list[np.ndarray]:
+    """64-bit hashes of each text's words: polynomials over random numbers for the bytes, from running sums over all bytes at once. Long texts are
+    worked through in chunks between words."""
+    datas = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b" ".join([b"", *datas, b""]), np.uint8)
+    blank = _BLANK[data]
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + chunk, "right")))
+        n = int(ends[j - 1] - a)
+        up, down = _powers(max(chunk, 1 << n.bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data[a : a + n]] * up[:n], dtype=np.uint64)])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        x = (sums[e] - sums[s]) * down[s]
+        out[i:j] = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        i = j
+    cuts = np.searchsorted(starts, np.cumsum([1] + [len(d) + 1 for d in datas]))
+    return [out[a:b] for a, b in itertools.pairwise(cuts.tolist())]
+
+
 class Memo:
     """A bounded memo in two generations: what is asked for again stays, the rest goes when the young generation is full. most: entries of both;
     keys longer than keep_bytes are not kept."""
