@@ -186,29 +186,105 @@ def test_quality_model_and_verdicts(spark):
 # toxicity
 
 
+def clause_total(text, stems=None):
+    lexicon = toxicity.Model(stems or {}, toxicity.DEFAULT).lexicon()
+    return sum(c.score for c in toxicity.matched_clauses(text, lexicon)[0])
+
+
 def test_grammar_scores_clauses():
-    lexicon = toxicity.Model({"vequ": 4.0}, toxicity.DEFAULT).lexicon()
-    total = lambda t: sum(c.score for c in toxicity.matched_clauses(t, lexicon)[0])
+    total = clause_total
     plain = total("such an idiot")
     assert plain > 0 and total("a lovely day") == 0 and total("") == 0
     assert total("he is not an idiot") < plain < total("you are an idiot")
     assert total("she said that such an idiot") < plain
     assert total("it is not so. such an idiot") == plain  # negation ends with its clause
-    assert total("Vequaire rest") == pytest.approx(4.0) and total("will kill him") > 0
-    assert len(toxicity.matched_clauses("idiot here. fine. moron there", lexicon)[0]) == 2
+    assert total("Vequaire rest", {"vequ": 4.0}) == pytest.approx(2.0) and total("you vequaire", {"vequ": 4.0}) == pytest.approx(4.0)
+    assert len(toxicity.matched_clauses("idiot here. fine. moron there", toxicity.Model({}, []).lexicon())[0]) == 2
+
+
+def test_threats_targets_and_reports_on_both_sides():
+    total = clause_total
+    threat = total("I will kill you")
+    assert total("the pan will kill the germs, burn calories and beat eggs") == 0 == total("I will kill the germs")
+    assert 0 < total("kill you") < threat and total("he said I will kill you") < threat and total("I will never kill you") < threat
+    assert total("this is trash collection day") < threat
+    assert total("idiot you are") == total("you idiot") > total("idiot")
+    assert total("you are an idiot he said") < total("you are an idiot") and total("an idiot he said") < total("an idiot")
+    assert total("idiot you are not") < total("idiot you are")
+
+
+def by_hand(symbols, weights):
+    """The grammar's rules, each looked up around the word itself."""
+    out = 0.0
+
+    def opened(i, step, openers, reach, closers=(), pause=0):
+        """Whether an opener stands within reach on that side, nothing having closed it; closers silence what lies just beyond them."""
+        side = [symbols[k] for k in (range(i) if step < 0 else range(len(symbols) - 1, i, -1))]
+        left = quiet = 0
+        for s in side:
+            if s in closers:
+                left, quiet = 0, pause
+            elif s in openers and not quiet:
+                left = reach
+            else:
+                left, quiet = max(0, left - 1), max(0, quiet - 1)
+        return left > 0
+
+    T = toxicity
+    for i, s in enumerate(symbols):
+        if s not in T.HARM:
+            continue
+        w = weights[i]
+        w *= 0.25 if opened(i, -1, (T.NEGATION,), 3) else 1
+        w *= 0.5 if opened(i, 1, (T.NEGATION,), 3) else 1
+        w *= 0.5 if opened(i, -1, (T.REPORT,), 12) else 1
+        w *= 0.5 if opened(i, 1, (T.REPORT,), 12) else 1
+        if s == T.INSULT:
+            w *= 2 if opened(i, -1, T.WHO, 4, (T.REPORT,)) else 1
+            w *= 2 if opened(i, 1, T.WHO, 4, (T.REPORT,), 2) else 1
+        else:
+            w *= 1 if opened(i, -1, (T.AGENT, T.PERSON), 4) else 0.25
+            w *= 1 if opened(i, 1, T.WHO, 3, (T.REPORT,), 2) else 0
+        out += w
+    return out
 
 
-def test_composition_is_the_product():
-    a, b = toxicity.within(toxicity.NEGATION, 2, 0.5), toxicity.within(toxicity.TARGET, 1, 3.0)
-    both = a * b
+def test_composed_machines_are_the_rules():
     rng = random.Random(1)
+    lexicon = toxicity.Model({}, toxicity.DEFAULT).lexicon()
+    words = {toxicity.OTHER: "plate", toxicity.INSULT: "idiot", toxicity.THREAT: "kill", toxicity.TARGET: "you", toxicity.AGENT: "i", toxicity.PERSON: "he", toxicity.NEGATION: "not", toxicity.REPORT: "said"}
+    for _ in range(3000):
+        symbols = [rng.choice([0, 0, 0, *range(8)]) for _ in range(rng.randint(1, 18))]
+        weights = [{toxicity.INSULT: 1.5, toxicity.THREAT: 4.0}.get(s, 0) for s in symbols]
+        assert clause_total(" ".join(words[s] for s in symbols)) == pytest.approx(by_hand(symbols, weights)), symbols
+    a, b = toxicity.within((toxicity.NEGATION,), 2, toxicity.HARM, 0.5), toxicity.within((toxicity.TARGET,), 1, toxicity.HARM, 3.0)
     for _ in range(100):
-        x = y = z = 0
-        for s in [rng.randrange(6) for _ in range(8)]:
-            x, f = a.moves[x][s]
-            y, g = b.moves[y][s]
-            z, h = both.moves[z][s]
-            assert h == f * g
+        symbols = [rng.randrange(8) for _ in range(8)]
+        assert (a * b).read(symbols) == [f * g for f, g in zip(a.read(symbols), b.read(symbols), strict=True)]
+    assert lexicon.read("idiot") == (toxicity.INSULT, 1.5)
+
+
+def test_toxicity_query_has_the_contract(spark, tmp_path):
+    import zlib
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfgklm") + rng.choice("aeiou") for _ in range(3))
+    common, bad = [word() for _ in range(300)], [f"zerq{x}" for x in ("a", "ine", "os", "ut")]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(common) for _ in range(40)]
+        if i % 4 == 0:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words)))
+    spark.createDataFrame([*rows, (None, "no id"), (1000, None), (1001, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = queries.op6_toxicity(spark, str(tmp_path))
+    assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == 403 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.doc_id is not None and r.doc_id < 400)
 
 
 def test_toxicity_is_learned_and_holds_out(spark):

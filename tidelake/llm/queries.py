@@ -65,7 +65,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
