@@ -7,13 +7,18 @@ The pattern's matches are found from left to right without looking back, a match
 and no match looks further than the character after its end and one more. So a position whose character is a blank or a line feed
 and whose predecessor is no white space is a border of matches in every scan that passes it, and the matches on either side do not
 depend on what lies beyond. A join looks for such a border on each side of the seam, in windows that double until one is found or the
-side ends, encodes what lies between anew, and keeps the tokens outside, which are final. Decoding concatenates bytes up the tree.
+side ends, encodes what lies between anew, and keeps the tokens outside, which are final. Halves are cut at the border nearest behind the middle, so a stretch
+without borders is a leaf however long it is, and is encoded once. Decoding concatenates bytes up the tree.
+
+A long run of white space is cut by rule, as the library's pattern matcher fails on it: of a run before other characters all but the last one are a match, at the
+text's end the whole run is. Such a match is merged by itself, without the pattern.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,11 @@ from tidelake.llm.shared import tidy
 #: Characters of a leaf, and tokens of a leaf in decoding.
 LEAF, LEAF_IDS = 2048, 4096
 
+#: White space in the pattern's sense, and runs of it that are cut by rule.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{WHITE}]{{256,}}")
+BORDER = re.compile(r"\S[ \n]")
+
 
 class TreeCodec:
     """Encoder and decoder over a rank file; pattern: the split before the merges."""
@@ -39,16 +49,30 @@ class TreeCodec:
         for token, i in ranks.items():
             self.size[i] = len(token)
         self.leaf = leaf
+        self.runs = r"\s+(?!\S)|\s+" in pattern
 
     def encode(self, text: str) -> list[int]:
-        return self._encode(text, 0, len(text)) if len(text) > self.leaf else self.library.encode_ordinary(text)
+        out, at = [], 0
+        for run in LONG_RUN.finditer(text) if self.runs else ():
+            end = run.end() - (run.end() < len(text))
+            out += self._encode(text, at, run.start())
+            out += self.library._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + self._encode(text, at, len(text))
 
     def _encode(self, text: str, a: int, b: int) -> list[int]:
-        if b - a <= self.leaf:
+        m = self._middle(text, a, b) if b - a > self.leaf else b
+        if m == b:
             return self.library.encode_ordinary(text[a:b])
-        m = (a + b) // 2
         return self.join(text, a, m, b, self._encode(text, a, m), self._encode(text, m, b))
 
+    def _middle(self, text: str, a: int, b: int) -> int:
+        """The first border behind the middle, else the last one before it, else b."""
+        m = self._border_after(text, (a + b) // 2, b)
+        if m == b:
+            m = self._border_before(text, a, (a + b) // 2)
+        return m if m > a else b
+
     def join(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """The encoding of text[a:b] from those of text[a:m] and text[m:b]."""
         i, j = self._border_before(text, a, m), self._border_after(text, m, b)
@@ -81,15 +105,8 @@ class TreeCodec:
     @staticmethod
     def _border_after(text: str, m: int, b: int) -> int:
         """The first border in [m, b), or b."""
-        window = 32
-        while True:
-            high = min(b, m + window)
-            for p in range(m + window // 2 if window > 32 else m, high):
-                if text[p] in " \n" and not text[p - 1].isspace():
-                    return p
-            if high == b:
-                return b
-            window *= 2
+        found = BORDER.search(text, m - 1, b)
+        return found.start() + 1 if found else b
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= LEAF_IDS:

@@ -2,15 +2,19 @@
 
 A segment file holds, little-endian:
 
-    magic "TIDEIDS1", id width in bytes (2 or 4), low bits, documents, ids, samples, bytes of the low and high parts
-    the document keys (int64) and which of them are null (bytes)
-    low part: the low bits of each document's end, packed
-    high part: for the i-th end e a one at bit (e >> low) + i
-    samples: the bit of every SAMPLE-th one, where select starts
+    magic "TIDEIDS2", id width in bytes (2 or 4), documents, ids, documents without a key, the least key
+    two Elias-Fano sequences: the documents' ends, and their ascending keys above the least one
     the ids
 
-Ends cost about 2 + log2(ids / documents) bits each instead of 64; select(i) finds an end in place, and a document's ids are the
-stretch between two ends.
+and a sequence holds:
+
+    low bits, values, samples, bytes of the low and high parts
+    low part: the low bits of each value, packed
+    high part: for the i-th value v a one at bit (v >> low) + i
+    samples: the bit of every SAMPLE-th one, where select starts
+
+An end costs about 2 + log2(ids / documents) bits instead of 64, a key of a dense range little more than 2; select(i) finds a value in place, and a
+document's ids are the stretch between two ends.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.llm.shared import Memo, shared_dir, tidy
 
-MAGIC, SAMPLE, HEAD = b"TIDEIDS1", 64, struct.Struct("<8sHHQQQQQ")
+MAGIC, SAMPLE, HEAD, PART = b"TIDEIDS2", 64, struct.Struct("<8sHQQQq"), struct.Struct("<HQQQQ")
 
 
 class EliasFano:
@@ -49,7 +53,7 @@ class EliasFano:
     def encode(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
+        low_bits = min(63, max(0, (top // max(n, 1)).bit_length() - 1))
         lows = (values & np.uint64((1 << low_bits) - 1)).astype("<u8")
         bits = np.unpackbits(lows.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :low_bits] if n else np.zeros((0, 0), np.uint8)
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
@@ -85,35 +89,50 @@ class EliasFano:
         return (high << self.low_bits) | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
 
 
+    def write(self, out) -> None:
+        out.write(PART.pack(self.low_bits, self.n, len(self.samples), len(self.low), len(self.high)))
+        out.write(self.low + self.high + np.asarray(self.samples, "<u8").tobytes())
+
+    @classmethod
+    def read(cls, data: bytes, at: int) -> tuple[EliasFano, int]:
+        """The sequence at an offset, and the offset behind it. Nothing is decoded."""
+        low_bits, n, n_samples, low, high = PART.unpack_from(data, at)
+        at += PART.size
+        return cls(n, low_bits, data[at : at + low], data[at + low : at + low + high], np.frombuffer(data, "<u8", n_samples, at + low + high)), at + low + high + 8 * n_samples
+
+
 def write_segment(out, keys: list[int | None], lengths: list[int], payload: list[bytes], width: int) -> None:
-    ef = EliasFano.encode(np.cumsum(np.asarray(lengths, np.int64)))
-    out.write(HEAD.pack(MAGIC, width, ef.low_bits, len(keys), int(sum(lengths)), len(ef.samples), len(ef.low), len(ef.high)))
-    out.write(np.array([0 if k is None else k for k in keys], "<i8").tobytes())
-    out.write(bytes(k is None for k in keys))
-    out.write(ef.low)
-    out.write(ef.high)
-    out.write(ef.samples.tobytes())
-    out.write(b"".join(payload))
+    """keys: the null ones first, then ascending."""
+    known = [k for k in keys if k is not None]
+    least = known[0] if known else 0
+    out.write(HEAD.pack(MAGIC, width, len(keys), int(sum(lengths)), len(keys) - len(known), least))
+    EliasFano.encode(np.cumsum(np.asarray(lengths, np.int64))).write(out)
+    EliasFano.encode(np.array([k - least for k in known], np.uint64)).write(out)
+    for x in payload:
+        out.write(x)
 
 
 class Segment:
-    """A segment file, read back."""
+    """A segment file, read back. Ends and keys stay as they are written, and are found by select."""
 
     def __init__(self, data: bytes):
-        magic, width, low_bits, n, n_ids, n_samples, low, high = HEAD.unpack_from(data)
+        magic, width, self.n, n_ids, self.n_null, self.least = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token-id segment")
-        at = HEAD.size
-        keys = np.frombuffer(data, "<i8", n, at)
-        nulls = data[at + 8 * n : at + 9 * n]
-        at += 9 * n
-        self.keys = [None if x else int(k) for k, x in zip(keys, nulls, strict=True)]
-        self.ends = EliasFano(n, low_bits, data[at : at + low], data[at + low : at + low + high], np.frombuffer(data, "<u8", n_samples, at + low + high))
-        self.ids = np.frombuffer(data, f"<u{width}", n_ids, at + low + high + 8 * n_samples)
+        self.ends, at = EliasFano.read(data, HEAD.size)
+        self.keys, at = EliasFano.read(data, at)
+        self.ids = np.frombuffer(data, f"<u{width}", n_ids, at)
+
+    def key(self, i: int) -> int | None:
+        return None if i < self.n_null else self.least + self.keys.select(i - self.n_null)
+
+    def start(self, i: int) -> int:
+        """Where the i-th document's ids begin."""
+        return self.ends.select(i - 1) if i else 0
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, by two selects."""
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        return self.ids[self.start(i) : self.ends.select(i)]
 
 
 def byte_chars() -> dict[int, str]:
@@ -238,12 +257,14 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 23) -> list[dict]:
-    """Writes every document's ids to segment files under root, in ascending order of the id, and returns the manifest.
+def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 23) -> DataFrame:
+    """Writes every document's ids to segment files under root, in ascending order of the id, and the manifest beside them, which is returned: (path, start, n_docs, n_ids),
+    a row for each file.
 
     Files are cut at about segment_ids ids; a document is never cut. A null text is empty and has the end id alone; null ids come
     first; rows with equal ids stand beside each other, in the order of their texts' hashes. A task that runs again writes the same
-    names (a finished file appears by a rename), so lost executors and repeated attempts do no harm. The manifest has a row per file.
+    names (a finished file appears by a rename), so lost executors and repeated attempts do no harm. The manifest is a table: its rows never come to the
+    driver, and where a file begins is a sum over the files of its task and over the tasks before it. Ids are numbers, or texts of such.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).repartitionByRange(parts, "k").sortWithinPartitions("k", F.xxhash64("t"))
@@ -280,24 +301,23 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
         if keys:
             yield flush()
 
-    made = ordered.mapInArrow(tidy(run), "part long, seq long, name string, n_docs long, n_ids long").collect()  # a row per file
-    out, at = [], 0
-    for r in sorted(made, key=lambda r: (r.part, r.seq)):
-        out.append({"path": f"{root}/{r.name}", "start": at, "n_docs": r.n_docs, "n_ids": r.n_ids})
-        at += r.n_ids
-    return out
+    spark = docs.sparkSession
+    ordered.mapInArrow(tidy(run), "part long, seq long, name string, n_docs long, n_ids long").write.parquet(f"{root}/manifest")
+    made = spark.read.schema("part long, seq long, name string, n_docs long, n_ids long").parquet(f"{root}/manifest")
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = made.groupBy("part").agg(F.sum("n_ids").alias("_sum"))  # a row for each task of the write
+    tasks = tasks.select("part", F.coalesce(F.sum("_sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    start = F.col("_before") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))
+    return made.join(tasks, "part").select(F.concat(F.lit(f"{root}/"), "name").alias("path"), start.alias("start"), "n_docs", "n_ids")
 
 
-def read_token_files(spark: SparkSession, manifest: list[dict], with_ids: bool = False) -> DataFrame:
+def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of the files, and with_ids also ids array<long>.
 
     start: ids of all documents before it. ids_crc32: of the ids as little-endian unsigned 32-bit integers. An empty manifest
-    gives no rows. A task reads one file at a time.
+    gives no rows. A task reads one file at a time, and finds its documents by select.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    if not manifest:
-        return spark.createDataFrame([], schema)
-    files = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,20 +325,22 @@ def read_token_files(spark: SparkSession, manifest: list[dict], with_ids: bool =
                 fs, at = _open(path)
                 with fs.open_input_stream(at) as f:
                     segment = Segment(f.read())
-                ends = segment.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = segment.ids.astype("<u4")
-                out = [
-                    pa.array(segment.keys, pa.int64()),
-                    pa.array(base + starts, pa.int64()),
-                    pa.array(ends - starts, pa.int64()),
-                    pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64()),
-                ]
-                if with_ids:
-                    out.append(pa.array([ids[a:b].tolist() for a, b in zip(starts, ends, strict=True)], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
-
-    return files.repartition(min(len(manifest), 10_000)).mapInArrow(tidy(run), schema)
+                for first in range(0, segment.n, 4096):
+                    rows = range(first, min(first + 4096, segment.n))
+                    ends = [segment.ends.select(i) for i in rows]
+                    starts = [segment.start(first), *ends[:-1]]
+                    ids = [segment.ids[a:b].astype("<u4") for a, b in zip(starts, ends, strict=True)]
+                    out = [
+                        pa.array([segment.key(i) for i in rows], pa.int64()),
+                        pa.array([base + a for a in starts], pa.int64()),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                    ]
+                    if with_ids:
+                        out.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
+
+    return manifest.select("path", "start").repartition("path").mapInArrow(tidy(run), schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, root: str | None = None) -> DataFrame:
