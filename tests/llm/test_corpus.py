@@ -162,8 +162,9 @@ def em(patterns, rules, rounds=60, prior=0.85, found=0.4):
         lb = np.log(1 - pi) + ((v == 1) * np.log(1 - b) + (v == 0) * np.log(b)).sum(1)
         g = 1 / (1 + np.exp(lb - lg))
         pi = np.clip(((n * g).sum() + 1) / (n.sum() + 2), 0.02, 0.98)
-        a = np.clip((((v == 1) * (n * g)[:, None]).sum(0) + 4 * trust) / (((v >= 0) * (n * g)[:, None]).sum(0) + 4), trust, 0.9995)
-        b = np.clip((((v == 0) * (n * (1 - g))[:, None]).sum(0) + 4 * found) / (((v >= 0) * (n * (1 - g))[:, None]).sum(0) + 4), 0.02, 0.9995)
+        k, m = 4 + quality.DRAWN * (n * g).sum(), 4 + quality.DRAWN * (n * (1 - g)).sum()
+        a = np.clip((((v == 1) * (n * g)[:, None]).sum(0) + k * trust) / (((v >= 0) * (n * g)[:, None]).sum(0) + k), *quality.GOOD_BOUNDS)
+        b = np.clip((((v == 0) * (n * (1 - g))[:, None]).sum(0) + m * found) / (((v >= 0) * (n * (1 - g))[:, None]).sum(0) + m), *quality.BAD_BOUNDS)
     return pi, a, b
 
 
@@ -173,6 +174,7 @@ def test_quality_model_and_verdicts(spark):
     model = quality.estimate(counted)
     pi, a, b = em([(r.votes, r.n) for r in counted.collect()], quality.RULES)
     assert np.allclose([model["pi"], *model["a"], *model["b"]], [pi, *a, *b], atol=1e-9)
+    assert all(quality.GOOD_BOUNDS[0] < x < quality.GOOD_BOUNDS[1] for x in model["a"]) and all(quality.BAD_BOUNDS[0] < x < quality.BAD_BOUNDS[1] for x in model["b"])
     out = quality.judge_quality(docs).collect()
     assert len(out) == docs.count()
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -183,6 +185,16 @@ def test_quality_model_and_verdicts(spark):
     assert len(quality.judge_quality(spark.createDataFrame([(1, None), (1, None), (None, "a")], "doc_id long, text string")).collect()) == 3
 
 
+def test_a_rule_that_misfires_loses_its_weight(spark):
+    """Nine of ten clean documents have symbols here, as in code: all other rules call them good, and they stay."""
+    rows = [([1, 1, 0 if i % 10 else 1, 0 if i % 10 else 1, 1, 1, 1], 1) for i in range(900)] + [([0, 0, -1, -1, 0, 0, 0], 1)] * 100
+    counted = spark.createDataFrame(rows, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    model = quality.estimate(counted)
+    assert max(model["a"][2:4]) < 0.6 and min(model["a"][:2] + model["a"][4:]) > 0.75
+    judged = {tuple(r.votes): r.p for r in counted.withColumn("p", quality.posterior(F.col("votes"), model)).collect()}
+    assert judged[1, 1, 0, 0, 1, 1, 1] > 0.5 > judged[0, 0, -1, -1, 0, 0, 0]
+
+
 # toxicity
 
 

@@ -155,7 +155,10 @@ def vectors(rng, n, labels, dims=16):
 
 
 @pytest.mark.parametrize("cell_rows, block", [(20, 8), (1000, 1024)])
-def test_metric_join(spark, cell_rows, block):
+def test_metric_join(spark, cell_rows, block, monkeypatch):
+    dealt = []
+    near = metric_join._near
+    monkeypatch.setattr(metric_join, "_near", lambda *a: (dealt.append(len(a[1])), near(*a))[1])
     x, label = vectors(np.random.default_rng(2), 300, 3)
     rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))]
     nan, inf = float("nan"), float("inf")
@@ -172,7 +175,7 @@ def test_metric_join(spark, cell_rows, block):
                 if p @ q / np.linalg.norm(p) / np.linalg.norm(q) >= 0.93:
                     links.append((a, b))
     degree, roots = Counter(n for y in links for n in y), reach([a for a, _, _ in usable], links)
-    assert len(links) > 200 and len(out) == len(rows) + len(odd) + 1
+    assert len(links) > 200 and len(out) == len(rows) + len(odd) + 1 and bool(dealt) == (cell_rows == 20)
     for a, _, _ in usable:
         assert (found[a].n_links, found[a].component_id, found[a].kept) == (degree[a], roots[a], roots[a] == a)
     for a in (1000, 1001, 1002, 1003, 1004, 1005, 1007):
@@ -193,6 +196,19 @@ def test_fingerprints_are_guaranteed_and_few():
     assert len(np.unique(least)) < 2.1 / 42 * 100_000
 
 
+def test_pivots_of_clusters(spark):
+    """Tight clusters far from each other: pivots part them, and nothing is lost."""
+    rng = np.random.default_rng(7)
+    base = np.eye(32)[rng.integers(0, 12, 400)]
+    x = (base + rng.normal(size=(400, 32)) * 0.05).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = (y @ y.T >= 0.93) & ~np.eye(400, dtype=bool)
+    for cell_rows in (10, 10**6):
+        out = {r.vec_id: r.n_links for r in metric_join.link_vectors(df, cell_rows=cell_rows, block=64).collect()}
+        assert [out[i] for i in range(400)] == linked.sum(1).tolist()
+
+
 def test_word_dedup_finds_runs_inside_lines(spark):
     rng = random.Random(4)
     some = lambda n: ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(n)]

@@ -4,6 +4,9 @@ On unit vectors a cosine of at least t is a distance of at most r = sqrt(2 - 2t)
 is its nearest pivot. If d(x, y) <= r, with homes i and j, the triangle inequality gives d(y, p_i) <= d(y, p_j) + 2r. So a copy of
 every vector in each cell whose pivot is within 2r of being nearest makes the cells independent: a pair meets in the cell of its
 smaller home, and nowhere else does it count. Large cells are cut into blocks, and pairs of blocks are the tasks.
+
+Pivots save work where vectors cluster. Unrelated vectors of many dimensions are all about as far from a pivot as from any other, so most would be copied to most
+cells. A sample tells beforehand: a label whose vectors would be near more than half of its pivots is one cell, and blocks compare all of it.
 """
 
 from __future__ import annotations
@@ -32,13 +35,18 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _near(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to the pivots, and whether a pivot is within reach of being the nearest."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+    return d, d <= d.min(1, keepdims=True) + reach
+
+
 def link_vectors(
     vectors: DataFrame,
     threshold: float = 0.93,
     cell_rows: int = 4000,
-    most_pivots: int = 32,
     all_pivots: int = 4096,
-    block: int = 1024,
+    block: int = 2048,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     label_col: str = "label",
@@ -50,33 +58,36 @@ def link_vectors(
     without a label or an id, link with nothing (a null id has a null component and is kept). Vectors of different lengths don't link. Equal
     vectors of a label are joined as one and counted as many. Rows with equal ids are vectors of their own and one node of the components.
 
-    Pivots are a sample by hash, at most most_pivots for a label and all_pivots in all, the largest labels first; a label without pivots is
-    one cell. They only save work: every pair within reach is compared, in blocks of `block` rows, which bounds a task.
+    Pivots are a sample by hash, one for cell_rows vectors of a label and all_pivots in all, the largest labels first, as they are held in memory; a
+    label without pivots is one cell. They only save work: every pair within reach is compared, in blocks of `block` rows, which bounds a task. Vectors of
+    floats are moved as floats, which loses nothing, and compared in double precision.
     """
+    kind = dict(vectors.dtypes)[vec_col]
+    kind = kind if kind == "array<float>" else "array<double>"
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"), usable(F.col(vec_col), F.col(label_col), F.col(id_col)).alias("ok"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast(kind).alias("v"), usable(F.col(vec_col), F.col(label_col), F.col(id_col)).alias("ok"))
     rows = scratch.put(rows.withColumn("k", F.xxhash64("v")), "rows")
 
     classes = rows.where("ok").groupBy("label", "k", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     classes = scratch.put(classes.withColumn("dim", F.size("v")), "classes")
 
     counts = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
-    wanted = F.least(F.lit(most_pivots), F.ceil(F.col("n") / cell_rows)).cast("int")
+    wanted = F.least(F.lit(all_pivots), F.ceil(F.col("n") / cell_rows)).cast("int")
     large = [(r.label, r.dim, r.p, r.n) for r in counts.withColumn("p", wanted).orderBy(F.col("n").desc(), "label", "dim").limit(all_pivots).collect()]
+    reach = 2 * math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     pivots: dict[tuple, np.ndarray] = {}
     if large:
         names = spark.createDataFrame([(a, d, p, min(1.0, 3 * p / n)) for a, d, p, n in large], f"label {dict(classes.dtypes)['label']}, dim int, p int, share double")
         drawn = classes.join(F.broadcast(names), ["label", "dim"]).where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-        drawn = drawn.groupBy("label", "dim").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("rep", F.lit(13)).alias("h"), "v"))), 1, most_pivots).alias("s"), F.max("p").alias("p"))
+        taken = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("rep", F.lit(13)).alias("h"), "v"))), F.lit(1), 2 * F.max("p"))
+        drawn = drawn.groupBy("label", "dim").agg(taken.alias("s"), F.max("p").alias("p"))
         left = all_pivots
         for r in sorted(drawn.collect(), key=lambda r: [(-n, str(a)) for a, d, _, n in large if (a, d) == (r.label, r.dim)]):
-            chosen = [x.v for x in r.s][: min(r.p, left)]
-            if len(chosen) > 1:
-                pivots[(r.label, r.dim)] = _unit(np.array(chosen))
-                left -= len(chosen)
-
-    reach = 2 * math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+            sample, p = _unit(np.array([x.v for x in r.s], float)), min(r.p, left)
+            if p > 1 and len(sample) > p and _near(sample[p:], sample[:p], reach)[1].mean() <= 0.5:
+                pivots[(r.label, r.dim)] = sample[:p]
+                left -= p
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +102,9 @@ def link_vectors(
                     cells += [0] * len(members)
                     homes += [True] * len(members)
                     continue
-                x = _unit(np.array(batch.column(3).take(pa.array(members)).to_pylist()))
-                d = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots[key].T))
+                x = _unit(np.array(batch.column(3).take(pa.array(members)).to_pylist(), float))
+                d, near = _near(x, pivots[key], reach)
                 home = d.argmin(1)
-                near = d <= d.min(1, keepdims=True) + reach
                 near &= np.arange(d.shape[1]) <= home[:, None]
                 r, c = np.nonzero(near)
                 at += [members[i] for i in r]
@@ -103,13 +113,13 @@ def link_vectors(
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(cells, pa.int32()), pa.array(homes, pa.bool_())], names=[*batch.schema.names, "cell", "home"])
 
-    kind = dict(classes.dtypes)
-    dealt = classes.select("label", "dim", "rep", "v", "size").mapInArrow(tidy(deal), f"label {kind['label']}, dim int, rep {kind['rep']}, v array<double>, size long, cell int, home boolean")
+    kinds = dict(classes.dtypes)
+    dealt = classes.select("label", "dim", "rep", "v", "size").mapInArrow(tidy(deal), f"label {kinds['label']}, dim int, rep {kinds['rep']}, v {kind}, size long, cell int, home boolean")
     dealt = scratch.put(dealt, "dealt")
     blocks = pair_blocks(dealt, ["label", "dim", "cell"], "rep", block)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, sizes, home = np.stack(pdf["v"].to_numpy()), pdf["rep"].to_numpy(), pdf["size"].to_numpy(), pdf["home"].to_numpy()
+        x, ids, sizes, home = np.stack(pdf["v"].to_numpy()).astype(float), pdf["rep"].to_numpy(), pdf["size"].to_numpy(), pdf["home"].to_numpy()
         x = x / np.abs(x).max(axis=1, keepdims=True)
         norm = np.linalg.norm(x, axis=1)
         linked = (x @ x.T) / np.outer(norm, norm) >= threshold
@@ -121,7 +131,7 @@ def link_vectors(
         some = linked.any(1)
         return pd.DataFrame({"node": ids[some], "links": (linked @ sizes)[some], "root": local_components(linked, ids)[some]})
 
-    found = blocks.groupBy("label", "dim", "cell", "lo", "hi").applyInPandas(compare, f"node {kind['rep']}, links long, root {kind['rep']}")
+    found = blocks.groupBy("label", "dim", "cell", "lo", "hi").applyInPandas(compare, f"node {kinds['rep']}, links long, root {kinds['rep']}")
     found = scratch.put(found, "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)

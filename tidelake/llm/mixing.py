@@ -69,9 +69,8 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     cap: int = 3,
     seed: int = 7,
-    block: int = 1024,
+    block: int = 4,
     docs_per_shard: int = 1024,
-    most_shards: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -83,7 +82,8 @@ def mix(
     target would be under a hundred of them. A null source is a source of its own, a null id hashes as an empty string; rows with equal ids stand
     beside each other in the ring. Sources without words have the target 0; an empty table gives no rows.
 
-    A hot source is split into shards by a seeded hash, so no task holds a source; sums are aggregated before they are shuffled.
+    A hot source is split into shards of about docs_per_shard documents by a seeded hash, so no task holds a source's documents; sums are aggregated before they
+    are shuffled. One task ranks a source's shards, two or three short rows for each 1024 documents, and one the sources.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
@@ -91,11 +91,10 @@ def mix(
     sizes = scratch.put(sizes, "sizes")
 
     src = scratch.put(source_targets(sizes, weights, cap), "sources")
-    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(_all())
-    src = src.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.coalesce(smallest, F.lit(0.0)) / 100))).cast("long"))
+    src = src.withColumn("block", F.lit(block).cast("long"))
     blocks = F.floor(F.sum("source_size").over(_all()) / F.col("block") + 0.5).cast("long")
     quotas = _seats(src, ["skey"], "target", blocks, [])
-    n_shards = F.least(F.lit(most_shards), F.ceil(F.col("n_docs") / docs_per_shard)).cast("long")
+    n_shards = F.ceil(F.col("n_docs") / docs_per_shard).cast("long")
     src = scratch.put(src.join(quotas, "skey").withColumn("n_shards", n_shards), "quotas")
 
     dealt = sizes.withColumn("skey", _skey(F.col("source"))).join(src, "skey").withColumn("shard", F.pmod(_hash32(F.col("_h")), F.col("n_shards")))

@@ -27,7 +27,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n log n in the text's length. One narrow pass, no shuffle.
     """
     text = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    words = text.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
+    words = text.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
     has_word = F.lit(r"[^\x20\x09-\x0D]")
     grams = words.select(
         id_col,
@@ -36,7 +36,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("_t") - F.length(F.translate("_t", CAPITALS, ""))).cast("long").alias("n_upper"),
         F.transform(F.filter(F.split("_t", "\n", -1), lambda x: F.rlike(x, has_word)), lambda x: F.xxhash64(x)).alias("_l"),
-        F.expr("CASE WHEN size(_w) >= 5 THEN transform(sequence(0, size(_w) - 5), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2), get(_w, i + 3), get(_w, i + 4))) ELSE array() END").alias("_g"),
+        F.expr("CASE WHEN size(_h) >= 5 THEN transform(sequence(0, size(_h) - 5), i -> xxhash64(get(_h, i), get(_h, i + 1), get(_h, i + 2), get(_h, i + 3), get(_h, i + 4))) ELSE array() END").alias("_g"),
     )
     # most texts repeat no window: only the others are sorted with their places
     sorted_ = grams.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.expr("sort_array(transform(_g, (h, i) -> named_struct('h', h, 'i', i)))")))
@@ -51,24 +51,24 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes by two SQL conditions over the features; where neither holds, it abstains. trust: the least share of its votes on good documents
-    that are good. Only it tells which of the two classes is the good one."""
+    """Votes by two SQL conditions over the features; where neither holds, it abstains. trust: the share of its votes on good documents that is expected
+    to be good. It is where the estimate starts and what it is drawn to, and it tells which of the two classes is the good one."""
 
     name: str
     good: str
     bad: str
-    trust: float
+    trust: float = 0.85
 
 
 #: Thresholds of the rules. Between good and bad a rule abstains.
 RULES = (
-    Rule("length", "n_words >= 50", "n_words < 20", 0.8),
-    Rule("word_size", "word_chars BETWEEN 3 * n_words AND 6.5 * n_words", "word_chars < 2.5 * n_words OR word_chars > 9 * n_words", 0.8),
-    Rule("symbols", "100 * n_symbols <= word_chars", "100 * n_symbols > 5 * word_chars", 0.995),
-    Rule("symbols_in_words", "20 * n_symbols <= n_words", "10 * n_symbols > 4 * n_words", 0.995),
-    Rule("repeated_words", "100 * n_repeat_words <= 8 * n_words", "100 * n_repeat_words > 20 * n_words", 0.98),
-    Rule("repeated_lines", "n_dup_lines = 0", "n_dup_lines >= 3 AND 25 * n_dup_lines > n_words", 0.9),
-    Rule("capitals", "100 * n_upper <= 15 * word_chars", "100 * n_upper > 30 * word_chars", 0.995),
+    Rule("length", "n_words >= 50", "n_words < 20"),
+    Rule("word_size", "word_chars BETWEEN 3 * n_words AND 6.5 * n_words", "word_chars < 2.5 * n_words OR word_chars > 9 * n_words"),
+    Rule("symbols", "100 * n_symbols <= word_chars", "100 * n_symbols > 5 * word_chars"),
+    Rule("symbols_in_words", "20 * n_symbols <= n_words", "10 * n_symbols > 4 * n_words"),
+    Rule("repeated_words", "100 * n_repeat_words <= 8 * n_words", "100 * n_repeat_words > 20 * n_words"),
+    Rule("repeated_lines", "n_dup_lines = 0", "n_dup_lines >= 3 AND 25 * n_dup_lines > n_words"),
+    Rule("capitals", "100 * n_upper <= 15 * word_chars", "100 * n_upper > 30 * word_chars"),
 )
 
 
@@ -77,17 +77,31 @@ def votes(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array(*[F.expr(f"CASE WHEN {r.bad} THEN 0 WHEN {r.good} THEN 1 ELSE -1 END") for r in rules])
 
 
+#: Weight of the expected accuracies: as many votes as this share of a class's documents, and four more.
+DRAWN = 0.05
+#: Bounds of estimated accuracies on good documents and on bad ones; they only keep logarithms finite, and the two classes apart.
+GOOD_BOUNDS, BAD_BOUNDS = (0.501, 0.9999), (0.001, 0.9999)
+
+
 def estimate(counted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 60, prior: float = 0.85, found: float = 0.4) -> dict:
     """Expectation-maximisation over (votes, n) rows: the share of good documents, and per rule the chance that a vote on a good document is
-    good and that one on a bad document is bad. A rule may find few of the bad documents (found: where that starts)."""
+    good and that one on a bad document is bad. A rule may find few of the bad documents (found: where that starts).
+
+    What is expected counts as votes beside the real ones (DRAWN), so a rule that misfires on clean text loses its weight, at any size of the corpus alike."""
     n_rules, trust = len(rules), f"array({', '.join(f'{r.trust}D' for r in rules)})"
     score = lambda yes, no, at: f"aggregate(x.v, named_struct('s', 0D, 'k', 0), (t, y) -> named_struct('s', t.s + CASE y WHEN 1 THEN {yes.format('t.k')} WHEN 0 THEN {no.format('t.k')} ELSE 0D END, 'k', t.k + 1), t -> t.s) + {at}"
     good, bad = score("ln(get(p.a, {}))", "ln(1 - get(p.a, {}))", "ln(p.pi)"), score("ln(1 - get(p.b, {}))", "ln(get(p.b, {}))", "ln(1 - p.pi)")
     expect = f"transform(pats, x -> named_struct('v', x.v, 'n', cast(x.n AS double), 'g', 1 / (1 + exp(({bad}) - ({good})))))"
     total = lambda what: f"aggregate(e, 0D, (s, y) -> s + ({what}))"
-    rate = lambda hit, w, least, first: f"transform(sequence(0, {n_rules - 1}), r -> greatest({least}, least(0.9995D, ({total(f'CASE WHEN get(y.v, r) = {hit} THEN {w} ELSE 0D END')} + 4 * {first}) / ({total(f'CASE WHEN get(y.v, r) >= 0 THEN {w} ELSE 0D END')} + 4D))))"
+
+    def rate(hit: int, w: str, drawn: str, first: str, bounds: tuple[float, float]) -> str:
+        hits, cast = total(f"CASE WHEN get(y.v, r) = {hit} THEN {w} ELSE 0D END"), total(f"CASE WHEN get(y.v, r) >= 0 THEN {w} ELSE 0D END")
+        return f"transform(sequence(0, {n_rules - 1}), r -> greatest({bounds[0]}D, least({bounds[1]}D, ({hits} + {drawn} * {first}) / ({cast} + {drawn}))))"
+
     share = f"greatest(0.02D, least(0.98D, ({total('y.n * y.g')} + 1D) / ({total('y.n')} + 2D)))"
-    fitted = f"named_struct('pi', {share}, 'a', {rate(1, 'y.n * y.g', f'get({trust}, r)', f'get({trust}, r)')}, 'b', {rate(0, 'y.n * (1 - y.g)', '0.02D', f'{found}D')})"
+    weigh = f"named_struct('e', e, 'good', 4D + {DRAWN}D * {total('y.n * y.g')}, 'bad', 4D + {DRAWN}D * {total('y.n * (1 - y.g)')})"
+    inner = f"named_struct('pi', {share}, 'a', {rate(1, 'y.n * y.g', 'q.good', f'get({trust}, r)', GOOD_BOUNDS)}, 'b', {rate(0, 'y.n * (1 - y.g)', 'q.bad', f'{found}D', BAD_BOUNDS)})".replace("aggregate(e,", "aggregate(q.e,")
+    fitted = f"get(transform(array({weigh}), q -> {inner}), 0)"
     start = f"named_struct('pi', {prior}D, 'a', {trust}, 'b', array_repeat({found}D, {n_rules}))"
     model = f"aggregate(sequence(1, {rounds}), {start}, (p, k) -> get(transform(array({expect}), e -> {fitted}), 0))"
     row = counted.agg(F.sort_array(F.collect_list(F.struct(F.col("votes").alias("v"), F.col("n")))).alias("pats")).select(F.expr(model).alias("m")).first().m
@@ -126,9 +140,13 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES, rounds: int = 60, prior: float =
     voted = ", ".join(f"CASE WHEN {r.bad} THEN 0 WHEN {r.good} THEN 1 ELSE -1 END AS v{i}" for i, r in enumerate(rules))
     side = lambda yes, no: " + ".join(f"CASE v{i} WHEN 1 THEN ln({yes.format(i)}) WHEN 0 THEN ln({no.format(i)}) ELSE 0 END" for i in n)
     good, bad = f"ln(pi) + {side('a{}', '1 - a{}')}", f"ln(1 - pi) + {side('1 - b{}', 'b{}')}"
-    share = lambda i, hit, w, least, first: f"greatest({least}, least(0.9995, (coalesce(sum({w}) FILTER (v{i} = {hit}), 0) + 4 * {first}) / (coalesce(sum({w}) FILTER (v{i} >= 0), 0) + 4)))"
-    a = ", ".join(share(i, 1, "n * g", r.trust, r.trust) for i, r in enumerate(rules))
-    b = ", ".join(share(i, 0, "n * (1 - g)", 0.02, found) for i in n)
+
+    def share(i: int, hit: int, w: str, first: float, bounds: tuple[float, float]) -> str:
+        drawn = f"(4 + {DRAWN} * sum({w}))"
+        return f"greatest({bounds[0]}, least({bounds[1]}, (coalesce(sum({w}) FILTER (v{i} = {hit}), 0) + {drawn} * {first}) / (coalesce(sum({w}) FILTER (v{i} >= 0), 0) + {drawn})))"
+
+    a = ", ".join(share(i, 1, "n * g", r.trust, GOOD_BOUNDS) for i, r in enumerate(rules))
+    b = ", ".join(share(i, 0, "n * (1 - g)", found, BAD_BOUNDS) for i in n)
     return rf"""
         WITH RECURSIVE words AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM words)),

@@ -136,7 +136,7 @@ ORACLES = {
             SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
                    / CAST(sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM weighed),
         targets AS (SELECT *, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target FROM levels),
-        blocks AS (SELECT *, CAST(greatest(1, least(1024, floor(coalesce(min(target) FILTER (target > 0) OVER (), 0) / 100))) AS BIGINT) AS block FROM targets),
+        blocks AS (SELECT *, CAST(4 AS BIGINT) AS block FROM targets),
         asked AS (SELECT *, count(*) OVER () AS n, sum(target) OVER () AS v, CAST(floor(CAST(sum(source_size) OVER () AS DOUBLE) / block + 0.5) AS BIGINT) AS s FROM blocks),
         bounds AS (
             SELECT *, CAST(CASE WHEN v > 0 THEN greatest(0, floor(target * (s - n / 2) / v + 0.5) - 1) ELSE 0 END AS BIGINT) AS lo,
@@ -146,7 +146,7 @@ ORACLES = {
         quotas AS (SELECT r, CAST(max(lo) + count(*) FILTER (w) AS BIGINT) AS seats FROM won GROUP BY r),
         dealt AS (
             SELECT z.doc_id, z.size, z.h, b.r, b.source_size, b.target, b.block, q.seats,
-                   CAST(least(4096, ceil(b.n_docs / 1024)) AS BIGINT) AS n_shards, coalesce('s' || z.source, 'n') AS skey
+                   CAST(ceil(b.n_docs / 1024) AS BIGINT) AS n_shards, coalesce('s' || z.source, 'n') AS skey
             FROM sizes z JOIN blocks b ON z.source IS NOT DISTINCT FROM b.source JOIN quotas q ON q.r = b.r),
         sharded AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % n_shards AS shard FROM dealt),
         shards AS (SELECT r, skey, shard, max(seats) AS s, max(block) AS block, CAST(sum(size) AS BIGINT) AS z FROM sharded GROUP BY ALL),
