@@ -224,19 +224,26 @@ def test_word_dedup_finds_runs_inside_lines(spark):
             a = rng.randint(0, 8) if rng.random() < 0.4 else 0
             words += run[a:] + some(rng.randint(0, 30))
         docs.append((i, text(words)))
-    rows = [*docs, (None, docs[5][1]), (30, docs[6][1]), (30, docs[34][1])]
+    base = some(300)  # near copies, with changed words
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(300)] = "changed" + str(rng.randrange(10))
+        docs.append((700 + i, text(w[rng.choice([0, 0, 7]) :])))
+    rows = [*docs, docs[44], (None, docs[5][1]), (30, docs[6][1]), (30, docs[34][1])]
     df = spark.createDataFrame([(k, t, len(t or ""), "x") for k, t in rows], "doc_id long, text string, n_chars long, removed_lines string").repartition(5)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
     first = {}
     for k, t in rows:
         w = (t or "").split()
         for p in range(len(w) - 49 if k is not None else 0):
-            first[tuple(w[p : p + 50])] = min(k, first.get(tuple(w[p : p + 50]), k))
+            first[tuple(w[p : p + 50])] = min((k, hashes[t]), first.get(tuple(w[p : p + 50]), (k, hashes[t])))
     want = Counter()
     for k, t in rows:
         w, gone, seen = (t or "").split(), set(), set()
         for p in range(len(w) - 49 if k is not None else 0):
             x = tuple(w[p : p + 50])
-            if first[x] < k or x in seen:
+            if first[x] < (k, hashes[t]) or x in seen:
                 gone.update(range(p, p + 50))
             seen.add(x)
         want[k, " ".join(x for p, x in enumerate(w) if p not in gone), len(gone)] += 1

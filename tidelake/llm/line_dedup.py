@@ -4,9 +4,11 @@ The unit that is hashed is a run of `gram` words, not a line as it stands: a pas
 another document has. Of the hashes in a window of min_words words the least is selected; neighbouring windows mostly agree on it, so a text has few
 distinct minima, and two texts that share min_words words running share the window, hence its minimum: fingerprints are guaranteed.
 
-Fingerprints that occur once in the corpus are dropped. At the others, positions are joined: the windows that such a fingerprint was selected for are named
-by their own hash and meet the first place that has them. Matches are extended both ways, window by window, as far as an earlier place goes along, and
-the words of the later places are deleted. Earlier is by document id, then by position. A word goes only where an earlier place holds its run, so the first
+A fingerprint stands for a stretch of neighbouring windows, and the words that these cover are its context, named by their hash. Positions are joined by
+that name: where a whole context occurs earlier in the corpus, all its windows do, and the first place of a context stands for all. Only where one fingerprint has several
+contexts, as at the ends of a shared passage and beside a changed word, windows are told apart one by one, each by its own hash, and only those of the contexts'
+first places. Matches so extend both ways, context by context and then window by window, as far as an earlier place goes along, and the words of the
+later places are deleted. Earlier is by document id, then by the text's hash, then by position. A word goes only where an earlier place holds its run, so the first
 occurrence always stays, also where a run overlaps its own source in a text that repeats itself.
 """
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import WORD, Scratch, join_counted, tidy, word_hashes
+from tidelake.llm.shared import WORD, Scratch, join_counted, powers, tidy, word_hashes
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -55,18 +57,51 @@ def winnow(words: np.ndarray, n: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return run_hashes(words, n).view(np.int64), least_of(runs, n - gram + 1), runs
 
 
+def contexts(words: np.ndarray, least: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each stretch of neighbouring windows with one minimum: the minimum, the hash of all words that the windows cover, the first window and their number."""
+    a = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    count = np.diff(np.append(a, len(least)))
+    up, down = powers(max(1 << 19, 1 << len(words).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    covered = (sums[a + count + n - 1] - sums[a]) * down[a] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return least[a], (covered ^ (covered >> np.uint64(31))).view(np.int64), a, count
+
+
+def own_repeats(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of windows that the text itself has before: the first window and the number of each."""
+    _, first, which = np.unique(whole, return_index=True, return_inverse=True)
+    again = np.concatenate([[False], first[which] < np.arange(len(whole)), [False]])
+    edge = np.flatnonzero(again[1:] != again[:-1])
+    return edge[::2], edge[1::2] - edge[::2]
+
+
+def places(spans: pa.StructArray) -> np.ndarray:
+    """The windows of all spans (a, n)."""
+    return np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(spans.field("a").to_pylist(), spans.field("n").to_pylist(), strict=True)]))
+
+
+def laid_out(found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of the spans (a, n, src), in order and once, and the source of each."""
+    n, source = found.field("n").to_numpy(), found.field("src").to_numpy()
+    at = np.repeat(found.field("a").to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    source = np.repeat(source, n)
+    order = np.lexsort((source, at))
+    at, first = np.unique(at[order], return_index=True)
+    return at, source[order][first]
+
+
 def dedup_words(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The rows of docs without the words that stand in a run of min_words words which an earlier place has, and removed_lines, removed_words (long) and
     removed_runs array<struct<first_line, last_line, source>>: the lines of the old text that a run touches, both included, and the document that has
     it earlier. removed_lines counts the lines that lose all their words. The text's length in chars_col follows, where docs have that column.
 
     Words are what ASCII white space parts, and equal where the lines and blanks between them differ. A null text stays null, a text whose words all go
-    becomes empty; no row is dropped. Runs below min_words words stay. A document's own repeats count. Rows with equal ids are one place, whatever
-    their texts: each loses what earlier documents have, and its own repeats. Rows with a null id are left as they are. Ids are numbers, or texts of
-    such. Input columns named like the new ones are replaced.
+    becomes empty; no row is dropped. Runs below min_words words stay. A document's own repeats count. Rows with equal ids and texts are one place; of equal
+    ids with different texts the one with the smaller hash is earlier. Rows with a null id are left as they are. Ids are numbers, or texts of such. Input
+    columns named like the new ones are replaced.
 
-    Three passes over the texts: for the fingerprints, for the windows beside one that occurs twice, and for the cut. Each window meets the least id that
-    has it alone, so a passage in m documents makes m rows; those of very common fingerprints and passages are not shuffled to one task.
+    Three passes over the texts: for the fingerprints, for the windows of contested contexts, and for the cut. A context in m documents makes m short rows,
+    which meet its first place alone; those of very common contexts and fingerprints are not shuffled to one task.
     """
     gram = min(gram, min_words)
     scratch = Scratch(docs.sparkSession, "words")
@@ -76,43 +111,55 @@ def dedup_words(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col: st
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("x"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, t, f, c, a, n): a fingerprint, its context's name, and its windows, from word a on. Repeats within a text have no f and c."""
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                ids, ts, marks, times = [], [], [], []
+                rows: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for k, t, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), word_hashes(part.column(2).to_pylist()), strict=True):
-                    _, least, runs = winnow(words, min_words, gram)
-                    found = np.unique(least)
-                    values, n = np.unique(runs, return_counts=True)
-                    marks.append(found)
-                    times.append(n[np.searchsorted(values, found)])
-                    ids.append(np.full(len(found), k))
-                    ts.append(np.full(len(found), t))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (ids, ts, marks, times)], names=["id", "t", "f", "n"])
-
-    marks = scratch.put(texts.mapInArrow(tidy(scan), "id long, t long, f long, n long"), "marks")
-    often = marks.groupBy("f").agg(F.sum("n").alias("n")).where("n > 1")
-    near = join_counted(marks.select("id", "t", "f"), scratch.put(often, "often"), "f", "n").groupBy("id", "t").agg(F.collect_set("f").alias("fs"))
+                    if len(words) < min_words:
+                        continue
+                    whole, least, _ = winnow(words, min_words, gram)
+                    f, c, a, n = contexts(words, least, min_words)
+                    own, own_n = own_repeats(whole)
+                    none = np.full(len(own), np.iinfo(np.int64).min)
+                    for out, x in zip(rows, (np.full(len(a) + len(own), k), np.full(len(a) + len(own), t), np.append(f, none), np.append(c, none), np.append(a, own), np.append(n, own_n)), strict=True):
+                        out.append(x)
+                cols = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in rows]
+                none = cols[3] == np.iinfo(np.int64).min
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], mask=none), pa.array(cols[3], mask=none), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())], names=["id", "t", "f", "c", "a", "n"])
+
+    marks = scratch.put(texts.mapInArrow(tidy(scan), "id long, t long, f long, c long, a int, n int"), "marks")
+    own = marks.where("c IS NULL").select("id", "t", "a", "n", F.col("id").alias("src"))
+    shared = marks.where("c IS NOT NULL")
+    classes = shared.groupBy("c").agg(F.max("f").alias("f"), F.min(F.struct("id", "t", "a", "n")).alias("first"), F.count(F.lit(1)).alias("k"))
+    classes = scratch.put(classes, "classes")
+    again = join_counted(shared.select("c", "id", "t", "a", "n"), classes.where("k > 1").select("c", "k", F.col("first.id").alias("src"), F.col("first.t").alias("src_t")), "c", "k")
+    again = again.where("src < id OR (src = id AND src_t < t)").select("id", "t", "a", "n", "src")
+
+    contested = scratch.put(classes.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "contested")
+    unsure = join_counted(classes.select("f", "first.id", "first.t", "first.a", "first.n"), contested, "f", "m")
+    unsure = unsure.groupBy("id", "t").agg(F.collect_set(F.struct("a", "n")).alias("spans"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of contested contexts, one by one."""
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                cols: list[list[np.ndarray]] = [[], [], [], [], []]
-                fs = part.column(3)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                cols: list[list[np.ndarray]] = [[], [], [], []]
                 for r, words in enumerate(word_hashes(part.column(2).to_pylist())):
-                    whole, least, _ = winnow(words, min_words, gram)
-                    at = np.flatnonzero(np.isin(least, fs[r].values.to_numpy()))
-                    _, first, which = np.unique(whole[at], return_index=True, return_inverse=True)
-                    for c, v in zip(cols, (whole[at], np.full(len(at), part.column(0)[r].as_py()), np.full(len(at), part.column(1)[r].as_py()), at, at[first[which]] < at), strict=True):
+                    at = places(part.column(3)[r].values)
+                    whole = run_hashes(words, min_words).view(np.int64)[at]
+                    for c, v in zip(cols, (whole, np.full(len(at), part.column(0)[r].as_py()), np.full(len(at), part.column(1)[r].as_py()), at), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)) for c in cols[:3]), pa.array(np.concatenate(cols[3]).astype(np.int32)), pa.array(np.concatenate(cols[4]).astype(bool))], names=["h", "id", "t", "pos", "own"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)) for c in cols[:3]), pa.array(np.concatenate(cols[3]).astype(np.int32))], names=["h", "id", "t", "a"])
 
-    windows = texts.join(near, ["id", "t"]).select("id", "t", "x", "fs")
-    windows = scratch.put(windows.mapInArrow(tidy(spread), "h long, id long, t long, pos int, own boolean"), "windows")
-    first = windows.groupBy("h").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = join_counted(windows, scratch.put(first, "first"), "h", "n").where("src < id OR own")
-    per_doc = later.groupBy(F.col("id").alias("_key"), F.col("t").alias("_hash")).agg(F.sort_array(F.collect_set(F.struct("pos", "src"))).alias("found"))
+    windows = texts.dropDuplicates(["id", "t"]).join(unsure, ["id", "t"]).select("id", "t", "x", "spans")
+    windows = scratch.put(windows.mapInArrow(tidy(spread), "h long, id long, t long, a int"), "windows")
+    first = windows.groupBy("h").agg(F.min(F.struct("id", "t")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    first = scratch.put(first.select("h", "k", F.col("first.id").alias("src"), F.col("first.t").alias("src_t")), "first")
+    later = join_counted(windows, first, "h", "k").where("src < id OR (src = id AND src_t < t)").select("id", "t", "a", F.lit(1).alias("n"), "src")
+    per_doc = again.unionByName(later).unionByName(own).groupBy(F.col("id").alias("_key"), F.col("t").alias("_hash")).agg(F.collect_set(F.struct("a", "n", "src")).alias("found"))
 
     clash = {c: f"_{i}" for i, c in enumerate(kept)}
     moved = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in clash.items()])
@@ -129,7 +176,7 @@ def dedup_words(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col: st
                 done = []
                 for r, t in enumerate(values):
                     spots = found[r].values
-                    done.append((t, 0, 0, []) if spots is None or t is None else remove_words(t, spots.field("pos").to_numpy(), spots.field("src").to_numpy(), min_words))
+                    done.append((t, 0, 0, []) if spots is None or t is None else remove_words(t, *laid_out(spots), min_words))
                 cols = [part.column(c) for c in range(part.num_columns - 1)]
                 cols[t_at] = pa.array([d[0] for d in done], pa.string())
                 if c_at is not None:

@@ -93,7 +93,7 @@ _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 @functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
@@ -115,7 +115,7 @@ def word_hashes(texts: list[str | None], chunk: int = 1 << 19) -> list[np.ndarra
         a = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, a + chunk, "right")))
         n = int(ends[j - 1] - a)
-        up, down = _powers(max(chunk, 1 << n.bit_length()))
+        up, down = powers(max(chunk, 1 << n.bit_length()))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data[a : a + n]] * up[:n], dtype=np.uint64)])
         s, e = starts[i:j] - a, ends[i:j] - a
         x = (sums[e] - sums[s]) * down[s]
