@@ -315,3 +315,53 @@ def test_live_counts_and_repeats(spark, tmp_path):
     counts.awaitTermination()
     want = clicks.union(clicks.limit(20)).groupBy(F.date_trunc("hour", "event_ts").alias("h"), "event_type").count()
     assert rows(spark.table("counts")) == rows(want)
+
+
+def test_broker_options_and_messages(spark):
+    broker = ev.Broker("host:9092", "clicks", {"kafka.security.protocol": "SASL_SSL", "maxOffsetsPerTrigger": 500})
+    assert broker.read_options() == {"kafka.bootstrap.servers": "host:9092", "subscribe": "clicks", "startingOffsets": "earliest", "kafka.security.protocol": "SASL_SSL", "maxOffsetsPerTrigger": "500"}
+    assert broker.read_options("latest", '{"clicks":{"0":7}}')["endingOffsets"] == '{"clicks":{"0":7}}' and broker.read_options("latest")["startingOffsets"] == "latest"
+    assert broker.write_options()["topic"] == "clicks" and "subscribe" not in broker.write_options()
+    clicks = gen.click_events(spark, 20, 5)
+    sent = ev.to_messages(clicks)
+    assert sorted({r.key.decode() for r in sent.collect()}) == sorted({str(r.customer_id) for r in clicks.collect()})
+    log = sent.select("key", "value", F.lit("clicks").alias("topic"), F.lit(0).alias("partition"), F.lit(1).cast("long").alias("offset"), F.current_timestamp().alias("timestamp"))
+    read = ev.valid_rows(ev.parse(log))
+    cols = ["event_id", "customer_id", "product_id", "event_type", "session_id", "page"]
+    assert rows(read.select(cols)) == rows(clicks.select(cols)) and read.where("event_ts IS NULL").isEmpty()
+    assert ev.dead_rows(ev.parse(log)).isEmpty()
+
+
+def test_journeys_depend_on_what_went_before(spark):
+    kinds = {}
+    for r in gen.click_events(spark, 300).orderBy("session_id", "event_ts").collect():
+        kinds.setdefault(r.session_id, []).append(r.event_type)
+    assert {k for x in kinds.values() for k in x} == {"page_view", "search", "add_to_cart", "purchase"}
+    for x in kinds.values():
+        cart = seen = False
+        for k in x:
+            assert k != "purchase" or cart
+            assert k != "add_to_cart" or seen or cart
+            cart = k == "add_to_cart" or (cart and k != "purchase")
+            seen = k == "page_view" or (seen and k not in ("search", "purchase"))
+
+
+def test_pace_and_send(spark, tmp_path):
+    now, slept = [0.0], []
+    sleep = lambda s: (slept.append(s), now.__setitem__(0, now[0] + s))
+    pace = gen.Pace(10, 0.2, clock=lambda: now[0], sleep=sleep)
+    for _ in range(50):
+        pace.wait()
+    assert 3.9 < now[0] < 5.9 and all(0.079 < s < 0.121 for s in slept)
+    clicks, out = gen.click_events(spark, 12, 5), ev.Folder(str(tmp_path / "out"))
+    assert gen.send(clicks, out.write, 3, gen.Pace(1000, clock=lambda: now[0], sleep=sleep)) == clicks.count() == out.batch(spark).count()
+
+
+def test_parameters(spark, tmp_path):
+    from tidelake.plans import run
+
+    args = run.parameters([str(tmp_path / "lake"), str(tmp_path / "landing"), "--layer", "silver", "--pipeline", "streaming", "--events", "host:9092/clicks"])
+    assert run.event_source(args.events) == ev.Broker("host:9092", "clicks") and run.event_source("/some/folder") == ev.Folder("/some/folder") and run.event_source(None) is None
+    assert run.run(spark, args) == {"silver": {"clickstream_sessions": NO_NEW_DATA}}
+    with pytest.raises(ValueError):
+        run.run(spark, run.parameters([str(tmp_path / "lake"), "x", "--layer", "reset"]))

@@ -4,8 +4,11 @@ repeated, and rows are made in parallel."""
 from __future__ import annotations
 
 import argparse
+import random
+import time
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Values to draw from. Categories have price ranges, states the share up to and with them.
@@ -101,21 +104,33 @@ def next_number(df: DataFrame, key: str) -> int:
     return (top or 0) + 1
 
 
+#: What a visitor does next, by what went before: the kinds with the share up to and with them, and the state that each leads to.
+JOURNEY = {
+    "fresh": [("page_view", 0.7, "looking"), ("search", 1.0, "fresh")],
+    "looking": [("page_view", 0.5, "looking"), ("search", 0.7, "fresh"), ("add_to_cart", 1.0, "cart")],
+    "cart": [("page_view", 0.3, "cart"), ("search", 0.4, "cart"), ("add_to_cart", 0.6, "cart"), ("purchase", 1.0, "fresh")],
+}
+
+
+def _journey(steps: str, draw: str) -> Column:
+    """The kinds of a session's events, drawn one after the other; draw: a number in [0, 1) for step i."""
+    arms = " ".join(f"WHEN a.state = '{state}' AND u < {upto} THEN named_struct('kind', '{kind}', 'state', '{then}')" for state, moves in JOURNEY.items() for kind, upto, then in moves)
+    step = f"get(transform(array({draw}), u -> CASE {arms} END), 0)"
+    return F.expr(f"aggregate({steps}, named_struct('state', 'fresh', 'kinds', cast(array() AS array<string>)), (a, i) -> get(transform(array({step}), m -> named_struct('state', m.state, 'kinds', concat(a.kinds, array(m.kind)))), 0), a -> a.kinds)")
+
+
 def click_events(spark: SparkSession, n_sessions: int = 1000, n_customers: int = 100, n_products: int = 1000, seed: int = 42, start: str = "2026-01-01 00:00:00") -> DataFrame:
-    """Sessions of 3 to 15 events; a session that put something in the cart may end with a purchase. Times lie within a session's half hour."""
+    """Sessions of 3 to 15 events. What follows depends on what went before (JOURNEY): only a cart leads to a purchase. Times lie within a session's half hour."""
     s = spark.range(n_sessions).toDF("n")
     s = s.select(
         "n",
         (F.floor(_u(seed, "c") * n_customers) + 1).cast("int").alias("customer_id"),
         (F.lit(start).cast("timestamp").cast("long") + F.floor(_u(seed, "t") * 30 * 86400)).alias("begin"),
         (F.floor(_u(seed, "k") * 13) + 3).cast("int").alias("k"),
-        (_u(seed, "cart") < 0.4).alias("cart"),
         F.md5(F.concat_ws("-", F.lit(seed), "n")).alias("session_id"),
     )
-    e = s.select("*", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i")).withColumn("n", F.col("n") * 100 + F.col("i"))
-    u = _u(seed, "e")
-    kind = F.when(F.col("cart") & (F.col("i") == F.col("k")), "purchase").when(F.col("cart") & (F.col("i") == F.col("k") - 1), "add_to_cart").when(u < 0.75, "page_view").otherwise("search")
-    e = e.withColumn("event_type", kind)
+    kinds = _journey("sequence(1, k)", f"pmod(xxhash64({seed}, 'e', n, i), {1 << 52}L) / {float(1 << 52)}D")
+    e = s.select("*", F.posexplode(kinds).alias("at", "event_type")).withColumn("i", F.col("at") + 1).withColumn("n", F.col("n") * 100 + F.col("i"))
     product = F.when(F.col("event_type") != "search", (F.floor(_u(seed, "p") * n_products) + 1).cast("int"))
     return e.select(
         F.md5(F.concat_ws("/", "session_id", "i")).alias("event_id"),
@@ -128,6 +143,45 @@ def click_events(spark: SparkSession, n_sessions: int = 1000, n_customers: int =
     )
 
 
+class Pace:
+    """Holds a producer to a rate: wait(n) returns when n more events may be sent. Waits vary by `jitter` of themselves, by the seed."""
+
+    def __init__(self, per_second: float = 1.0, jitter: float = 0.2, seed: int = 42, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.jitter, self.draw, self.clock, self.sleep = 1 / per_second, jitter, random.Random(seed), clock, sleep
+        self.due = clock()
+
+    def wait(self, n: int = 1) -> None:
+        self.due = max(self.due, self.clock()) if n else self.due
+        if (rest := self.due - self.clock()) > 0:
+            self.sleep(rest)
+        self.due += n * self.gap * (1 + self.jitter * (2 * self.draw.random() - 1))
+
+
+def send(events: DataFrame, write: Callable[[DataFrame], None], batches: int, pace: Pace, key: str = "session_id") -> int:
+    """Writes the events in batches, no faster than the pace: sessions stay together. The number of events sent."""
+    dealt, sent = events.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(batches))), 0
+    for i in range(batches):
+        part = dealt.where(F.col("_batch") == i).drop("_batch")
+        n = part.count()
+        if n:
+            pace.wait(n)
+            write(part)
+            sent += n
+    return sent
+
+
+def first_of_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: the smallest by all other columns, so a repeated draw of a number does no harm."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
+def summary(df: DataFrame, key: str, by: str) -> DataFrame:
+    """Per value of a column its rows, distinct keys and share of all rows."""
+    counted = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"))
+    return counted.withColumn("share", F.round(F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()), 4))
+
+
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n_rows"))
 

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidelake import generators
 from tidelake.functions.columns import completed, surrogate_key
 from tidelake.operators import checks, dashboard, gold, incremental, merge, silver
 from tidelake.plans import retail
-from tidelake.plans.pipeline import Pipeline
+from tidelake.plans.pipeline import Pipeline, reset
+from tidelake.plans.registry import BRONZE, SILVER
 from tidelake.sources import events as ev
-from tidelake.sources.files import with_lineage, write_csv
+from tidelake.sources.files import RESCUED, read_csv, with_lineage, write_csv
 from tidelake.storage.table_store import TableStore
 from tidelake.streaming import ingest
 
@@ -527,7 +531,18 @@ def dq_allowed_values(spark, d):
        WHERE lower(status) = 'completed' GROUP BY ALL"""
 )
 def medallion_daily_sales(spark, d):
-    """CSV drops of customers, products and orders through bronze, silver and gold: orders up to the cut in a first run, all others in a second."""
+    """CSV drops of customers, products and orders through bronze, silver and gold: orders up to the cut in a first run, all others in a second.
+
+    The model has one product for an order, so that of its lines with the smallest number stands for the order."""
+    pipe, root, orders = _landed(spark, d)
+    for part in (_early(orders), _changed(orders)):
+        write_csv(part, f"{root}/landing/orders", "append")
+        pipe.run()
+    return pipe.store.read("daily_sales_summary").drop("updated_at")
+
+
+def _landed(spark, d):
+    """A pipeline whose customers and products have arrived, its folder, and the orders."""
     root = _scratch(spark)
     first = retail.order_lines(spark, d).groupBy("order_id").agg(F.min("product_id").alias("product_id"))
     orders = retail.orders(spark, d).drop("customer_sk").withColumn("status", F.lower("status")).join(first, "order_id", "left").select("order_id", "customer_id", "product_id", "order_date", "total_amount", "status")
@@ -536,7 +551,197 @@ def medallion_daily_sales(spark, d):
     pipe = Pipeline(spark, root, f"{root}/landing")
     write_csv(customers, f"{root}/landing/customers", "append")
     write_csv(products, f"{root}/landing/products", "append")
-    for part in (_early(orders), _changed(orders)):
-        write_csv(part, f"{root}/landing/orders", "append")
-        pipe.run()
-    return pipe.store.read("daily_sales_summary").drop("updated_at")
+    return pipe, root, orders
+
+
+@query(
+    """SELECT * FROM (
+    WITH one AS (SELECT oc.*, product_id FROM oc JOIN (SELECT order_id, min(product_id) AS product_id FROM ol GROUP BY 1) USING (order_id) WHERE lower(status) = 'completed'),
+    cn AS (SELECT * FROM cl WHERE event_type <> 'search'),
+    cs AS (SELECT *, CASE WHEN prev IS NULL OR floor(epoch(event_ts)) - floor(epoch(prev)) > 1800 THEN 1 ELSE 0 END AS s FROM (SELECT *, lag(event_ts) OVER (PARTITION BY customer_id ORDER BY event_ts, event_id) AS prev FROM cn)),
+    cm AS (SELECT *, sum(s) OVER (PARTITION BY customer_id ORDER BY event_ts, event_id ROWS UNBOUNDED PRECEDING) AS num FROM cs),
+    cg AS (SELECT customer_id, num, min(event_ts) AS first_ts, count(*) FILTER (event_type = 'page_view') AS views, bool_or(event_type = 'purchase') AS bought FROM cm GROUP BY ALL)
+    SELECT 'customer_ltv' AS gold_table, md5('1990-01-01|' || customer_id) AS key, count(DISTINCT order_id) AS n, round(sum(total_amount), 2) AS amount,
+           CASE WHEN round(sum(total_amount), 2) >= 1000 THEN 'High' WHEN round(sum(total_amount), 2) >= 500 THEN 'Medium' ELSE 'Low' END AS note FROM oc WHERE lower(status) = 'completed' GROUP BY customer_id
+    UNION ALL SELECT 'product_performance', md5(CAST(product_id AS VARCHAR)), n, amount, CAST(rank() OVER (PARTITION BY category ORDER BY amount DESC) AS VARCHAR)
+           FROM (SELECT product_id, category, count(DISTINCT order_id) AS n, round(sum(one.total_amount), 2) AS amount FROM one JOIN dp USING (product_id) GROUP BY ALL)
+    UNION ALL SELECT 'hourly_traffic_metrics', strftime(date_trunc('hour', first_ts), '%Y-%m-%d %H:%M:%S'), count(*), round(count(*) FILTER (bought) / count(*), 4), CAST(CAST(sum(views) AS BIGINT) AS VARCHAR) FROM cg GROUP BY date_trunc('hour', first_ts))"""
+)
+def medallion_gold(spark, d):
+    """The other gold tables behind the whole pipeline, clicks included, in one run."""
+    pipe, root, orders = _landed(spark, d)
+    write_csv(orders, f"{root}/landing/orders", "append")
+    _messages(spark, d).select(F.col("value").cast("string")).write.text(f"{root}/clicks")
+    pipe.run(ev.Folder(f"{root}/clicks"))
+    named = lambda t, key, n, amount, note: pipe.store.read(t).select(F.lit(t).alias("gold_table"), key.alias("key"), F.col(n).cast("long").alias("n"), F.col(amount).alias("amount"), F.col(note).cast("string").alias("note"))
+    hour = F.date_format("event_hour", "yyyy-MM-dd HH:mm:ss")
+    return named("customer_ltv", F.col("customer_sk"), "total_orders", "total_revenue", "ltv_segment").union(named("product_performance", F.col("products_sk"), "units_sold", "total_revenue", "category_rank")).union(named("hourly_traffic_metrics", hour, "total_sessions", "purchase_rate", "page_views"))
+
+
+# files, tables and state
+
+
+@query("SELECT order_id, CASE WHEN order_id % 7 <> 0 THEN order_date END AS order_date, order_id % 7 = 0 OR order_id % 11 = 0 AS rescued FROM oc")
+def csv_rescue(spark, d):
+    """Every seventh order has no readable date, every eleventh a field too many: what fits is kept, and the raw line is too."""
+    path = f"{_scratch(spark)}/in"
+    day = F.when(F.col("order_id") % 7 == 0, "someday").otherwise(F.col("order_date").cast("string"))
+    line = F.concat_ws(",", F.col("order_id").cast("string"), day, F.when(F.col("order_id") % 11 == 0, "more"))
+    retail.orders(spark, d).select(line.alias("order_id,order_date")).write.text(path)
+    schema = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("order_date", T.DateType())])
+    rows = read_csv(spark, path, schema, header=False)
+    return rows.select("order_id", "order_date", F.col(RESCUED).isNotNull().alias("rescued"))
+
+
+@query("SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(order_date AS VARCHAR) AS order_date, status FROM oc")
+def csv_all_strings(spark, d):
+    path = f"{_scratch(spark)}/in"
+    write_csv(retail.orders(spark, d).select("order_id", "order_date", "status"), path)
+    return read_csv(spark, path)
+
+
+@query("SELECT count(*) AS n_messages FROM cl")
+def memory_sink(spark, d):
+    """Messages of a folder, drained by a stream into a table in memory."""
+    root = _scratch(spark)
+    _messages(spark, d).select(F.col("value").cast("string")).write.text(f"{root}/in")
+    report = ingest.check_source(spark, ev.Folder(f"{root}/in"), f"{root}/state", f"check_{uuid.uuid4().hex}")
+    return spark.createDataFrame([(report["in_memory"],)], "n_messages long")
+
+
+@query(f"SELECT 'orders' AS source, epoch_us(CAST(max(order_date) AS TIMESTAMP)) AS first_mark, (SELECT epoch_us(CAST(max(order_date) AS TIMESTAMP)) FROM oc) AS last_mark, 0 AS after_reset FROM oc WHERE order_date < DATE '{CUT}'")
+def watermark_state(spark, d):
+    """Watermarks merged into a table's state, one row per source, and reset."""
+    orders = retail.orders(spark, d)
+    store = TableStore(spark, _scratch(spark))
+    store.create("control", "source string")
+    marks = []
+    for part in (_early(orders), orders):
+        store.put_state("control", watermark={"orders": incremental.watermark_of(part, "order_date")})
+        marks.append(store.state("control")["watermark"]["orders"])
+    store.put_state("control", watermark={})
+    return spark.createDataFrame([("orders", *marks, len(store.state("control")["watermark"]))], "source string, first_mark long, last_mark long, after_reset int")
+
+
+@query("SELECT order_id, CASE WHEN status = 'cancelled' THEN -1 ELSE customer_id END AS customer_id, CASE WHEN status = 'cancelled' THEN 'lost' WHEN total_amount > 100000 THEN 'large' ELSE status END AS status FROM oc")
+def update_case_null(spark, d):
+    """UPDATE with CASE, where a column is null."""
+    orders = retail.orders(spark, d).select("order_id", F.when(F.col("status") != "cancelled", F.col("customer_id")).alias("customer_id"), "status", "total_amount")
+    store = TableStore(spark, _scratch(spark))
+    store.publish("orders", orders, ["order_id"])
+    store.update_where("orders", {"status": F.when(F.col("total_amount") > 100000, "large").otherwise(F.col("status"))}, F.col("customer_id").isNotNull())
+    store.update_where("orders", {"customer_id": F.lit(-1), "status": F.lit("lost")}, F.col("customer_id").isNull())
+    return store.read("orders").drop("total_amount")
+
+
+@query("SELECT count(*) AS before, 0 AS after, true AS is_there FROM oc")
+def delete_all(spark, d):
+    store = TableStore(spark, _scratch(spark))
+    store.publish("orders", retail.orders(spark, d), ["order_id"])
+    before = store.read("orders").count()
+    store.clear("orders")
+    return spark.createDataFrame([(before, store.read("orders").count(), store.exists("orders"))], "before long, after int, is_there boolean")
+
+
+@query("SELECT order_id, status, CASE WHEN status = 'pending' THEN 'nobody' ELSE 'shop' END AS owner, 1 AS revision FROM oc")
+def insert_defaults(spark, d):
+    """A table made by DDL; rows that lack a column, or have it as null, get its default."""
+    store = TableStore(spark, _scratch(spark))
+    store.create("orders", "order_id long, status string, owner string, revision int", ["order_id"])
+    rows = retail.orders(spark, d).select("order_id", "status", F.when(F.col("status") != "pending", "shop").alias("owner"))
+    store.insert("orders", rows, {"owner": F.lit("nobody"), "revision": F.lit(1)})
+    return store.read("orders")
+
+
+@query("SELECT * FROM oc ORDER BY order_id LIMIT 20")
+def table_preview(spark, d):
+    store = TableStore(spark, _scratch(spark))
+    store.publish("orders", retail.orders(spark, d), ["order_id"])
+    return store.preview("orders")
+
+
+STAMP = "2024-02-03 04:05:06"
+
+
+@query(f"SELECT product_id, md5(CAST(product_id AS VARCHAR)) AS products_sk, TIMESTAMP '{STAMP}' AS silver_loaded_at, TIMESTAMP '2024-03-03 04:05:06' AS silver_updated_at FROM dp")
+def audit_columns(spark, d):
+    """Audit times of a dimension that is loaded twice: the first load's stays."""
+    products = retail.products(spark, d).drop("products_sk")
+    args = {"keys": ["product_id"], "newest": ["price"], "sk": "products_sk"}
+    stamps = [datetime.fromisoformat(f"2024-0{m}-03T04:05:06+00:00") for m in (2, 3)]
+    twice = silver.scd1(silver.scd1(None, products, run_ts=stamps[0], **args), products, run_ts=stamps[1], **args)
+    return _ntz(twice.select("product_id", "products_sk", "silver_loaded_at", "silver_updated_at"))
+
+
+@query("SELECT order_id, order_date FROM oc ORDER BY order_date DESC, order_id DESC LIMIT 1")
+def newest_order(spark, d):
+    return retail.orders(spark, d).orderBy(F.col("order_date").desc(), F.col("order_id").desc()).select("order_id", "order_date").limit(1)
+
+
+# the registry
+
+
+@query("SELECT * FROM (VALUES ('dim_customers', 1, ''), ('dim_products', 2, ''), ('orders_clean', 3, 'dim_customers,dim_products')) t(name, run_order, depends)")
+def registry_order(spark, d):
+    """Active tables of the batch pipeline in the order in which they run."""
+    rows = [(t.name, t.order, ",".join(t.depends)) for t in sorted(SILVER, key=lambda t: t.order) if t.active and t.pipeline == "batch"]
+    return spark.createDataFrame(rows, "name string, run_order int, depends string")
+
+
+@query("SELECT 'orders_clean' AS name, 'skipped: waits for dim_customers, dim_products' AS outcome, 1 AS dropped, 0 AS left_over")
+def gate_and_reset(spark, d):
+    """A fact whose dimensions are not there waits; reset then drops what there is."""
+    pipe, root, orders = _landed(spark, d)
+    write_csv(orders, f"{root}/landing/orders", "append")
+    pipe = Pipeline(spark, root, f"{root}/landing", [t for t in BRONZE if t.name == "orders_raw"], [t for t in SILVER if t.name == "orders_clean"], [])
+    pipe.run_bronze()
+    ((name, outcome),) = pipe.run_silver().items()
+    return spark.createDataFrame([(name, outcome, len(reset(pipe, confirm=True)), len(pipe.store.list()))], "name string, outcome string, dropped int, left_over int")
+
+
+# generators: what holds for every seed
+
+
+@query("SELECT 2000 AS n_rows, 2000 AS n_keys, true AS emails_differ, true AS known_values")
+def generated_customers(spark, d):
+    known = F.col("region").isin(generators.REGIONS) & F.col("signup_date").between(F.lit("2020-01-01").cast("date"), F.lit("2026-01-31").cast("date"))
+    return generators.customers(spark, 2000).agg(F.count(F.lit(1)).cast("int").alias("n_rows"), F.count_distinct("customer_id").cast("int").alias("n_keys"), (F.count_distinct("email") == 2000).alias("emails_differ"), F.every(known).alias("known_values"))
+
+
+@query("SELECT 500 AS n_rows, 100 AS n_changed, true AS in_range")
+def generated_products(spark, d):
+    """Products, and a hundred of them with a new price or category."""
+    made = generators.products(spark, 500)
+    after = generators.changed_products(made, 100).select("product_id", F.col("price").alias("new_price"), F.col("category").alias("new_category"))
+    in_range = F.col("new_price").isNull() | F.col("new_price").between(0.79 * F.col("price"), 1.31 * F.col("price"))
+    return made.join(after, "product_id", "left").agg(F.count(F.lit(1)).cast("int").alias("n_rows"), F.count("new_price").cast("int").alias("n_changed"), F.every(in_range).alias("in_range"))
+
+
+@query("SELECT 3000 AS n_rows, 3001 AS next_number, true AS in_range, 200 AS n_moved, true AS moves_allowed")
+def generated_orders(spark, d):
+    """Orders, and two hundred of them in their next state."""
+    made = generators.orders(spark, 3000)
+    moved = generators.order_transitions(made, 200).select("order_id", F.col("status").alias("then"))
+    allowed = F.col("then").isNull() | F.concat_ws(">", "status", "then").isin("pending>completed", "pending>cancelled", "completed>refunded")
+    checked = made.join(moved, "order_id", "left").agg(F.count(F.lit(1)).cast("int").alias("n_rows"), F.every(F.col("total_amount").between(5, 2000)).alias("in_range"), F.count("then").cast("int").alias("n_moved"), F.every(allowed).alias("moves_allowed"))
+    return checked.withColumn("next_number", F.lit(generators.next_number(made, "order_id")).cast("int"))
+
+
+@query("SELECT 400 AS n_sessions, true AS lengths, true AS purchases_have_carts, true AS products_known")
+def generated_clicks(spark, d):
+    """Sessions of 3 to 15 events, in which a purchase follows a cart."""
+    clicks = generators.click_events(spark, 400)
+    cart = F.min(F.when(F.col("event_type") == "add_to_cart", F.col("event_ts")))
+    sold = F.min(F.when(F.col("event_type") == "purchase", F.col("event_ts")))
+    sessions = clicks.groupBy("session_id").agg(F.count(F.lit(1)).alias("k"), cart.alias("cart"), sold.alias("sold"), F.every((F.col("event_type") == "search") == F.col("product_id").isNull()).alias("known"))
+    return sessions.agg(F.count(F.lit(1)).cast("int").alias("n_sessions"), F.every(F.col("k").between(3, 15)).alias("lengths"), F.every(F.col("sold").isNull() | F.coalesce(F.col("cart") < F.col("sold"), F.lit(False))).alias("purchases_have_carts"), F.every("known").alias("products_known"))
+
+
+@query("SELECT status, count(*) AS n_rows, count(DISTINCT customer_id) AS n_keys, round(count(*) / (SELECT count(*) FROM oc), 4) AS share FROM oc GROUP BY 1")
+def status_summary(spark, d):
+    return generators.summary(retail.orders(spark, d), "customer_id", "status")
+
+
+@query("SELECT customer_id, min(order_id) AS order_id FROM oc GROUP BY 1")
+def first_of_key(spark, d):
+    return generators.first_of_key(retail.orders(spark, d).select("customer_id", "order_id"), "customer_id")

@@ -32,17 +32,23 @@ class Broker:
     topic: str
     options: dict = field(default_factory=dict)
 
-    def _all(self, starting: str) -> dict:
-        return {"kafka.bootstrap.servers": self.servers, "subscribe": self.topic, "startingOffsets": starting, **self.options}
+    def read_options(self, starting: str = "earliest", ending: str | None = None) -> dict[str, str]:
+        """starting, ending: earliest, latest or offsets by partition as JSON; a stream has no end."""
+        own = {"kafka.bootstrap.servers": self.servers, "subscribe": self.topic, "startingOffsets": starting}
+        return own | ({"endingOffsets": ending} if ending else {}) | {k: str(v) for k, v in self.options.items()}
+
+    def write_options(self) -> dict[str, str]:
+        return {"kafka.bootstrap.servers": self.servers, "topic": self.topic} | {k: str(v) for k, v in self.options.items()}
 
     def stream(self, spark: SparkSession, starting: str = "earliest") -> DataFrame:
-        return spark.readStream.format("kafka").options(**self._all(starting)).load()
+        return spark.readStream.format("kafka").options(**self.read_options(starting)).load()
 
-    def batch(self, spark: SparkSession) -> DataFrame:
-        return spark.read.format("kafka").options(**self._all("earliest")).load()
+    def batch(self, spark: SparkSession, starting: str = "earliest", ending: str = "latest") -> DataFrame:
+        return spark.read.format("kafka").options(**self.read_options(starting, ending)).load()
 
     def write(self, events: DataFrame, key: str = "customer_id") -> None:
-        to_messages(events, key).write.format("kafka").option("kafka.bootstrap.servers", self.servers).option("topic", self.topic).options(**self.options).save()
+        """A message that the broker does not take fails its task, and in the end the write: there is no report by message."""
+        to_messages(events, key).write.format("kafka").options(**self.write_options()).save()
 
 
 @dataclass(frozen=True)

@@ -50,9 +50,9 @@ def _rescuing(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(RESCUED, T.StringType())])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True) -> DataFrame:
     """With a schema, rows with more fields or a value of another type keep what fits, and their raw line in the rescue column. Without, all strings."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", header)
     if schema is None:
         return reader.csv(path)
     return reader.schema(_rescuing(schema)).option("columnNameOfCorruptRecord", RESCUED).option("enforceSchema", True).csv(path)

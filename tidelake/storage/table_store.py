@@ -127,6 +127,11 @@ class TableStore:
             raise KeyError(f"no table {table}" + (f" of version {version}" if version is not None else ""))
         return self._load(snap, table, [f for fs in snap.files.values() for f in fs])
 
+    def preview(self, table: str, rows: int = 20) -> DataFrame:
+        """The first rows by the table's keys, or by all columns."""
+        df = self.read(table)
+        return df.orderBy(*(self.snapshot(table).keys or df.columns)).limit(rows)
+
     # writes
 
     def _bucket(self, keys: list[str], n: int) -> Column:
