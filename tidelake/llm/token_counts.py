@@ -211,13 +211,14 @@ class PrefixCounter:
 class PrefixTable:
     """The prefix counts of one text: ends (bytes) of its stretches and the count of the prefix up to each."""
 
-    def __init__(self, data: bytes, counter: PrefixCounter):
+    def __init__(self, data: bytes, counter: PrefixCounter, deltas: np.ndarray | None = None):
+        """deltas: the counts of the stretches, where they are known."""
         if counter.words is None:
             raise ValueError("this tokenizer has no prefix counts: its words don't end in tokens of their own, or its white space counts")
         self.data, self.counter = data, counter
         spans = [m.span() for m in STRETCH.finditer(data)]
         self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
-        self.counts = np.concatenate([[0], np.cumsum(counter.deltas([data])[0])]).astype(np.int64)
+        self.counts = np.concatenate([[0], np.cumsum(counter.deltas([data])[0] if deltas is None else deltas)]).astype(np.int64)
 
     def total(self) -> int:
         return int(self.counts[-1])
@@ -272,11 +273,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 datas = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-                tables = [np.cumsum(d) for d in counter.deltas(datas)]
+                deltas = counter.deltas(datas)
+                tables = [np.cumsum(d) for d in deltas]
                 totals = [int(t[-1]) if len(t) else 0 for t in tables]
                 out = [part.column(0), pa.array([len(d) for d in datas], pa.int64()), pa.array(totals, pa.int64())]
                 if limit is not None:
-                    fit = [len((PrefixTable(d, counter).truncate(limit) if n > limit else d.decode()).rstrip(" \t\n\x0b\x0c\r")) for d, n in zip(datas, totals, strict=True)]
+                    fit = [len((PrefixTable(d, counter, x).truncate(limit) if n > limit else d.decode()).rstrip(" \t\n\x0b\x0c\r")) for d, n, x in zip(datas, totals, deltas, strict=True)]
                     out += [pa.array([n > limit for n in totals]), pa.array(fit, pa.int64())]
                 if with_prefixes:
                     out.append(pa.array([t.tolist() for t in tables], pa.list_(pa.int64())))
