@@ -78,9 +78,8 @@ def mix(
     """(id, size, source_size, target, taken, whole, start, part) of every row.
 
     size: words of the text (null: 0). taken: words that the mix takes, repeats counted: the document `whole` times, and once more `part` of
-    its words from word `start` on, running on at the document's first word where they pass its end. Blocks have `block` words, fewer where the smallest
-    target would be under a hundred of them. A null source is a source of its own, a null id hashes as an empty string; rows with equal ids stand
-    beside each other in the ring. Sources without words have the target 0; an empty table gives no rows.
+    its words from word `start` on, running on at the document's first word where they pass its end. Blocks have `block` words, whatever the
+    corpus. A null source is a source of its own, a null id hashes as an empty string; rows with equal ids stand beside each other in the ring. Sources without words have the target 0; an empty table gives no rows.
 
     A hot source is split into shards of about docs_per_shard documents by a seeded hash, so no task holds a source's documents; sums are aggregated before they
     are shuffled. One task ranks a source's shards, two or three short rows for each 1024 documents, and one the sources.
