@@ -209,6 +209,28 @@ def test_pivots_of_clusters(spark):
         assert [out[i] for i in range(400)] == linked.sum(1).tolist()
 
 
+@pytest.mark.parametrize("all_pivots", [4096, 0])
+def test_pivots_level_by_level(spark, all_pivots, monkeypatch):
+    """Cells that stay large get pivots of their own; links, copies and components are those of brute force."""
+    written = []
+    put = Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name: (written.append(name), put(self, df, name))[1])
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 3))
+    x[600:] = x[:100] * 2
+    x[300:420] = x[300] + rng.normal(size=(120, 3)) * 0.02  # a crowd that no pivot parts
+    rows = [(i, v.tolist(), "b" if i % 7 == 0 else "a") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)
+    out = {r.vec_id: r for r in metric_join.link_vectors(df, threshold=0.995, cell_rows=15, all_pivots=all_pivots, fan_out=4, block=32).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([k for _, _, k in rows])
+    linked = (y @ y.T >= 0.995) & (label[:, None] == label) & ~np.eye(700, dtype=bool)
+    roots = reach(range(700), np.argwhere(linked).tolist())
+    assert {"split2", "split3"} <= set(written) and linked.sum() > 1000
+    for i in range(700):
+        assert (out[i].n_links, out[i].component_id, out[i].kept) == (linked[i].sum(), roots[i], roots[i] == i)
+
+
 def test_word_dedup_finds_runs_inside_lines(spark):
     rng = random.Random(4)
     some = lambda n: ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(n)]
