@@ -143,6 +143,26 @@ def test_messages_are_routed_once(spark, store, tmp_path):
     assert report["in_memory"] == len(good) + len(BROKEN) + 1
 
 
+def test_drained_messages_are_not_collected(spark, tmp_path, monkeypatch):
+    """The table in memory holds every message, and new ones when the source is drained again; its stream has a sink that leaves them with the executors."""
+    sinks, report = [], ingest._report
+    monkeypatch.setattr(ingest, "_report", lambda query: (report(query), sinks.append(query.lastProgress))[0])
+    folder = tmp_path / "in"
+    folder.mkdir()
+    source = ev.Folder(str(folder))
+    assert ingest.check_source(spark, source, str(tmp_path / "empty"))["in_memory"] == 0
+    values = [f"{i} {i * i}" for i in range(5000)]
+    for i in range(4):
+        (folder / f"{i}.json").write_text("\n".join(values[i::4]))
+    assert ingest.check_source(spark, source, str(tmp_path / "state"))["in_memory"] == 5000
+    assert sinks[-1]["sink"]["description"].startswith("FileSink")
+    assert sorted(r.v for r in spark.table("source_check").selectExpr("CAST(value AS STRING) AS v").collect()) == sorted(values)
+    assert spark.catalog.isCached("source_check")
+    (folder / "more.json").write_text("a\nb")
+    assert ingest.check_source(spark, source, str(tmp_path / "state"))["in_memory"] == 5002
+    spark.catalog.dropTempView("source_check")
+
+
 def test_csv_schema_is_kept_and_odd_rows_are_rescued(spark, store, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -605,7 +605,9 @@ def memory_sink(spark, d):
     """Messages of a folder, drained by a stream into a table in memory."""
     root = _scratch(spark)
     _messages(spark, d).select(F.col("value").cast("string")).write.text(f"{root}/in")
-    report = ingest.check_source(spark, ev.Folder(f"{root}/in"), f"{root}/state", f"check_{uuid.uuid4().hex}")
+    name = f"check_{uuid.uuid4().hex}"
+    report = ingest.check_source(spark, ev.Folder(f"{root}/in"), f"{root}/state", name)
+    spark.catalog.dropTempView(name)
     return spark.createDataFrame([(report["in_memory"],)], "n_messages long")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,7 +46,14 @@ def ingest_events(spark: SparkSession, store: TableStore, source: ev.Broker | ev
 
 
 def check_source(spark: SparkSession, source: ev.Broker | ev.Folder, state_path: str, name: str = "source_check") -> dict:
-    """Whether a source can be read: its schema, and how many messages a drained stream puts in memory."""
-    query = source.stream(spark).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{state_path}/{name}").trigger(availableNow=True).start()
+    """Whether a source can be read: its schema, and how many messages a drained stream puts in a table in memory, the view `name`.
+
+    The stream writes files under state_path and the view is cached from them, in the executors' memory and beyond it on their disks: Spark's own memory sink
+    collects every message on the driver. Dropping the view frees the memory."""
+    messages, path = source.stream(spark), f"{state_path}/{name}_messages"
+    query = messages.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{state_path}/{name}").trigger(availableNow=True).start()
     report = _report(query)
+    spark.catalog.dropTempView(name)
+    spark.read.schema(messages.schema).parquet(path).createOrReplaceTempView(name)
+    spark.catalog.cacheTable(name, StorageLevel.MEMORY_AND_DISK)
     return report | {"schema": source.batch(spark).schema.simpleString(), "in_memory": spark.table(name).count()}
