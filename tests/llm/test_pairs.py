@@ -277,6 +277,32 @@ def test_word_dedup_finds_runs_inside_lines(spark):
     assert line_dedup.dedup_words(df.limit(0)).collect() == []
 
 
+def test_many_texts_at_once_are_as_each_alone():
+    """Contexts and cuts of texts that are worked through together do not depend on their neighbours."""
+    rng = random.Random(8)
+    draw = np.random.default_rng(8)
+    texts = [draw.integers(0, 1 << 62, rng.choice([0, 3, 11, 12, 13, 40, 300]), dtype=np.uint64) for _ in range(60)]
+    texts += [np.tile(texts[0][:0], 1), np.full(30, 7, np.uint64), *texts[:5]]
+    cuts = np.cumsum([0] + [len(t) for t in texts])
+    text, *marks, whole, of = line_dedup.contexts(np.concatenate(texts), cuts, 12, 4)
+    for i, t in enumerate(texts):
+        _, *own, own_whole, _ = line_dedup.contexts(t, np.array([0, len(t)]), 12, 4)
+        assert all((x[text == i] == y).all() for x, y in zip(marks, own, strict=True)) and (whole[of == i] == own_whole).all()
+        assert own[3].sum() == len(own_whole) == max(0, len(t) - 11)
+    for n in (1, 2, 5):
+        docs = ["".join("é" + str(rng.randrange(50)) + rng.choice([" "] * 6 + ["\n", "\t ", "\n\n"]) for _ in range(rng.randint(n, 30))) for _ in range(80)]
+        docs = [d.rstrip() if i % 3 else rng.choice(["", " ", "\n"]) + d for i, d in enumerate(docs)]
+        at = [sorted(rng.sample(range(len(d.split()) - n + 1), rng.randint(1, len(d.split()) - n + 1))) for d in docs]
+        found, lines, words, *_ = line_dedup.cut_texts(docs, np.repeat(np.arange(80), [len(a) for a in at]), np.concatenate(at), np.zeros(sum(map(len, at)), np.int64), n)
+        for d, a, out, lost, k in zip(docs, at, found, lines, words, strict=True):
+            gone = {p + j for p in a for j in range(n)}
+            which = iter(range(10**6))
+            left = [[next(which) in gone for _ in row.split()] for row in d.split("\n")]
+            assert out.split() == [w for p, w in enumerate(d.split()) if p not in gone] and k == len(gone)
+            assert lost == sum(bool(row) and all(row) for row in left)
+            assert out == line_dedup.remove_words(d, np.array(a), np.zeros(len(a), np.int64), n)[0]
+
+
 def test_equal_ids_with_different_texts(spark):
     rng = random.Random(6)
     line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))

@@ -14,7 +14,7 @@ occurrence always stays, also where a run overlaps its own source in a text that
 
 from __future__ import annotations
 
-import re
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.shared import WORD, Scratch, join_counted, powers, tidy, word_hashes
+from tidelake.llm.shared import Scratch, flat_hashes, join_counted, powers, tidy, word_places
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -57,37 +57,36 @@ def winnow(words: np.ndarray, n: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return run_hashes(words, n).view(np.int64), least_of(runs, n - gram + 1), runs
 
 
-def contexts(words: np.ndarray, least: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each stretch of neighbouring windows with one minimum: the minimum, the hash of all words that the windows cover, the first window and their number."""
-    a = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    count = np.diff(np.append(a, len(least)))
+def contexts(words: np.ndarray, cuts: np.ndarray, n: int, gram: int) -> tuple[np.ndarray, ...]:
+    """For each stretch of neighbouring windows of one text with one minimum: the text, the minimum, the hash of all words that the windows cover, the first window
+    and their number; and of all windows the hash and the text. words: those of many texts, each from a cut to the next."""
+    whole, least, _ = winnow(words, n, gram)
+    windows = np.maximum(np.diff(cuts) - n + 1, 0)
+    text, at = np.repeat(np.arange(len(windows)), windows), spread_out(cuts[:-1], windows)
+    least = least[at]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
+    count = np.diff(np.append(first, len(at)))
     up, down = powers(max(1 << 19, 1 << len(words).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    a = at[first]
     covered = (sums[a + count + n - 1] - sums[a]) * down[a] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return least[a], (covered ^ (covered >> np.uint64(31))).view(np.int64), a, count
+    return text[first], least[first], (covered ^ (covered >> np.uint64(31))).view(np.int64), a - cuts[text[first]], count, whole[at], text
 
 
 def own_repeats(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretches of windows that the text itself has before: the first window and the number of each."""
+    ordered = np.sort(whole)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return (np.zeros(0, np.int64),) * 2
     _, first, which = np.unique(whole, return_index=True, return_inverse=True)
     again = np.concatenate([[False], first[which] < np.arange(len(whole)), [False]])
     edge = np.flatnonzero(again[1:] != again[:-1])
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def places(spans: pa.StructArray) -> np.ndarray:
-    """The windows of all spans (a, n)."""
-    return np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(spans.field("a").to_pylist(), spans.field("n").to_pylist(), strict=True)]))
-
-
-def laid_out(found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    """Each window of the spans (a, n, src), in order and once, and the source of each."""
-    n, source = found.field("n").to_numpy(), found.field("src").to_numpy()
-    at = np.repeat(found.field("a").to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    source = np.repeat(source, n)
-    order = np.lexsort((source, at))
-    at, first = np.unique(at[order], return_index=True)
-    return at, source[order][first]
+def spread_out(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from each a on."""
+    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def dedup_words(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -115,19 +114,23 @@ def dedup_words(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col: st
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                rows: list[list[np.ndarray]] = [[] for _ in range(6)]
-                for k, t, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), word_hashes(part.column(2).to_pylist()), strict=True):
-                    if len(words) < min_words:
-                        continue
-                    whole, least, _ = winnow(words, min_words, gram)
-                    f, c, a, n = contexts(words, least, min_words)
-                    own, own_n = own_repeats(whole)
-                    none = np.full(len(own), np.iinfo(np.int64).min)
-                    for out, x in zip(rows, (np.full(len(a) + len(own), k), np.full(len(a) + len(own), t), np.append(f, none), np.append(c, none), np.append(a, own), np.append(n, own_n)), strict=True):
-                        out.append(x)
-                cols = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in rows]
-                none = cols[3] == np.iinfo(np.int64).min
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], mask=none), pa.array(cols[3], mask=none), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())], names=["id", "t", "f", "c", "a", "n"])
+                k, t = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                words, cuts = flat_hashes(part.column(2).to_pylist())
+                rows: list[tuple[np.ndarray, ...]] = []
+                r = 0
+                while r < part.num_rows:  # some texts at a time, whose hashes fit the processor's cache
+                    end = max(r + 1, int(np.searchsorted(cuts, cuts[r] + (1 << 15), "right")) - 1)
+                    text, f, c, a, n, whole, of = contexts(words[cuts[r] : cuts[end]], cuts[r : end + 1] - cuts[r], min_words, gram)
+                    rows.append((text + r, f, c, a, n))
+                    for x, (lo, hi) in enumerate(itertools.pairwise(np.searchsorted(of, np.arange(end - r + 1)).tolist())):
+                        own, own_n = own_repeats(whole[lo:hi])
+                        if len(own):
+                            none = np.full(len(own), np.iinfo(np.int64).min)
+                            rows.append((np.full(len(own), x + r), none, none, own, own_n))
+                    r = end
+                cols = [np.concatenate(x) for x in zip(*rows, strict=True)]
+                none = cols[2] == np.iinfo(np.int64).min
+                yield pa.RecordBatch.from_arrays([pa.array(k[cols[0]]), pa.array(t[cols[0]]), pa.array(cols[1], mask=none), pa.array(cols[2], mask=none), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())], names=["id", "t", "f", "c", "a", "n"])
 
     marks = scratch.put(texts.mapInArrow(tidy(scan), "id long, t long, f long, c long, a int, n int"), "marks")
     own = marks.where("c IS NULL").select("id", "t", "a", "n", F.col("id").alias("src"))
@@ -146,13 +149,14 @@ def dedup_words(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col: st
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                cols: list[list[np.ndarray]] = [[], [], [], []]
-                for r, words in enumerate(word_hashes(part.column(2).to_pylist())):
-                    at = places(part.column(3)[r].values)
-                    whole = run_hashes(words, min_words).view(np.int64)[at]
-                    for c, v in zip(cols, (whole, np.full(len(at), part.column(0)[r].as_py()), np.full(len(at), part.column(1)[r].as_py()), at), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)) for c in cols[:3]), pa.array(np.concatenate(cols[3]).astype(np.int32))], names=["h", "id", "t", "a"])
+                words, cuts = flat_hashes(part.column(2).to_pylist())
+                spans, each = part.column(3).flatten(), part.column(3).value_lengths().to_numpy()
+                n = spans.field("n").to_numpy()
+                text = np.repeat(np.repeat(np.arange(part.num_rows), each), n)
+                at = spread_out(spans.field("a").to_numpy(), n)
+                whole = run_hashes(words, min_words).view(np.int64)[at + cuts[text]]
+                k, t = (part.column(c).to_numpy() for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(k[text]), pa.array(t[text]), pa.array(at, pa.int32())], names=["h", "id", "t", "a"])
 
     windows = texts.dropDuplicates(["id", "t"]).join(unsure, ["id", "t"]).select("id", "t", "x", "spans")
     windows = scratch.put(windows.mapInArrow(tidy(spread), "h long, id long, t long, a int"), "windows")
@@ -173,44 +177,76 @@ def dedup_words(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col: st
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 values, found = part.column(t_at).to_pylist(), part.column(part.num_columns - 1)
-                done = []
-                for r, t in enumerate(values):
-                    spots = found[r].values
-                    done.append((t, 0, 0, []) if spots is None or t is None else remove_words(t, *laid_out(spots), min_words))
+                each = np.where([v is None for v in values], 0, found.value_lengths().fill_null(0).to_numpy())
+                some = np.flatnonzero(each)
+                spots = found.take(pa.array(some)).flatten()
+                n = spots.field("n").to_numpy()
+                text = np.repeat(np.repeat(np.arange(len(some)), each[some]), n)
+                done = cut_texts([values[r] for r in some], text, spread_out(spots.field("a").to_numpy(), n), np.repeat(spots.field("src").to_numpy(), n), min_words)
+                lines, words, runs = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
+                lines[some], words[some], runs[some] = done[1:4]
+                for r, x in zip(some, done[0], strict=True):
+                    values[r] = x
                 cols = [part.column(c) for c in range(part.num_columns - 1)]
-                cols[t_at] = pa.array([d[0] for d in done], pa.string())
+                cols[t_at] = pa.array(values, pa.string())
                 if c_at is not None:
-                    cols[c_at] = pa.array([None if d[0] is None else len(d[0]) for d in done]).cast(cols[c_at].type)
-                kind = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("source", pa.int64())]))
-                runs = [[{"first_line": a, "last_line": b, "source": s} for a, b, s in d[3]] for d in done]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array(runs, kind)], names=[*clash.values(), *new])
+                    cols[c_at] = pa.array([None if v is None else len(v) for v in values]).cast(cols[c_at].type)
+                of_run = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(done[4:], (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["first_line", "last_line", "source"])
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(runs)), pa.int32()), of_run)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(lines), pa.array(words), listed], names=[*clash.values(), *new])
 
     out = both.mapInArrow(tidy(cut), schema)
     return out.select(*[F.col(a).alias(c) for c, a in clash.items()], *new)
 
 
-def remove_words(text: str, at: np.ndarray, sources: np.ndarray, min_words: int) -> tuple[str, int, int, list[tuple[int, int, int]]]:
-    """The text without the windows of min_words words at the places `at` (sorted): the new text, lines and words removed, and the runs.
+def cut_texts(texts: list[str], text: np.ndarray, at: np.ndarray, sources: np.ndarray, n: int) -> tuple:
+    """The texts without the windows of n words at the places `at` of the texts `text`: the new texts; of each the number of lines, words and runs removed; and of all
+    runs the first line, the last line and the source. Of equal windows the least source counts.
 
     Of the blanks on both sides of a run those stay that hold a line's end, the ones before it where both or neither do."""
-    spans = [m.span() for m in re.finditer(WORD, text)]
-    n = len(spans)
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + min_words, -1)
-    gone = np.cumsum(step[:n]) > 0
-    feeds = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
-    line = np.searchsorted(feeds, [a for a, _ in spans])
-    out, done = [], 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    for a, b in edges.reshape(-1, 2).tolist():
-        before = text[spans[a - 1][1] if a else 0 : spans[a][0]]
-        after = text[spans[b - 1][1] : spans[b][0] if b < n else len(text)]
-        out.append(text[done : spans[a - 1][1] if a else 0])
-        out.append(before if "\n" in before or "\n" not in after else after)
-        done = spans[b][0] if b < n else len(text)
-    out.append(text[done:])
-    breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(sources) != 0)) + 1
-    runs = [(int(line[p[0]]), int(line[p[-1] + min_words - 1]), int(s[0])) for p, s in zip(np.split(at, breaks), np.split(sources, breaks), strict=True)]
-    lost = len(set(line[gone].tolist()) - set(line[~gone].tolist()))
-    return "" if gone.all() else "".join(out), lost, int(gone.sum()), runs
+    data, begins, starts, ends, cuts = word_places(texts)
+    at = at + cuts[text]
+    order = np.lexsort((sources, at))
+    at, first = np.unique(at[order], return_index=True)
+    sources, text = sources[order][first], text[order][first]
+    step = np.zeros(len(starts) + 1, np.int64)
+    step[at] += 1
+    step[at + n] -= 1
+    gone = np.cumsum(step[:-1]) > 0
+    of = np.repeat(np.arange(len(texts)), np.diff(cuts))
+    feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    line = np.searchsorted(feeds, starts) + of  # lines of all texts, one after the other
+    line_0 = np.searchsorted(feeds, begins[:-1]) + np.arange(len(texts))
+    words = np.bincount(of[gone], minlength=len(texts))
+    held, lost = np.bincount(line, minlength=1), np.bincount(line[gone], minlength=1)
+    lost = np.flatnonzero((held[: len(lost)] == lost) & (lost > 0))
+    lines = np.bincount(np.searchsorted(line_0, lost, "right") - 1, minlength=len(texts))
+
+    edge = np.zeros(len(gone) + 1, bool)
+    edge[cuts] = True
+    edge[1:-1] |= gone[1:] != gone[:-1]
+    a, b = np.flatnonzero(gone & edge[:-1]), np.flatnonzero(gone & edge[1:])
+    begin, end = begins[:-1], begins[1:] - 1
+    left = np.where(a == cuts[of[a]], begin[of[a]], ends[a - 1])  # the blanks before a run begin here,
+    right = np.where(b + 1 == cuts[of[b] + 1], end[of[b]], starts[np.minimum(b + 1, len(starts) - 1)])  # and those after it end here
+    feed_before = np.searchsorted(feeds, starts[a]) > np.searchsorted(feeds, left)
+    feed_after = np.searchsorted(feeds, right) > np.searchsorted(feeds, ends[b])
+    keep_before = feed_before | ~feed_after
+    pieces: list[list[bytes]] = [[] for _ in texts]
+    done = begin.copy()
+    for r, lo, hi in zip(of[a].tolist(), np.where(keep_before, starts[a], left).tolist(), np.where(keep_before, right, ends[b]).tolist(), strict=True):
+        pieces[r].append(data[done[r] : lo])
+        done[r] = hi
+    emptied = words == np.diff(cuts)
+    out = ["" if emptied[r] and words[r] else b"".join([*pieces[r], data[done[r] : end[r]]]).decode() for r in range(len(texts))]
+
+    fresh = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), (np.diff(at) != 1) | (np.diff(sources) != 0) | (np.diff(text) != 0)]))
+    last = np.append(fresh[1:], len(at))[: len(fresh)] - 1
+    runs = np.bincount(text[fresh], minlength=len(texts))
+    return out, lines, words, runs, line[at[fresh]] - line_0[text[fresh]], line[at[last] + n - 1] - line_0[text[fresh]], sources[fresh]
+
+
+def remove_words(text: str, at: np.ndarray, sources: np.ndarray, min_words: int) -> tuple[str, int, int, list[tuple[int, int, int]]]:
+    """One text cut: the new text, lines and words removed, and the runs."""
+    out, lines, words, _, *runs = cut_texts([text], np.zeros(len(at), np.int64), at, sources, min_words)
+    return out[0], int(lines[0]), int(words[0]), list(zip(*(x.tolist() for x in runs), strict=True))

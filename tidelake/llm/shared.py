@@ -103,25 +103,40 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(texts: list[str | None], chunk: int = 1 << 19) -> list[np.ndarray]:
-    """64-bit hashes of each text's words: polynomials over random numbers for the bytes, from running sums over all bytes at once. Long texts are
-    worked through in chunks between words."""
+def word_places(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in UTF-8 with blanks around them; where each text begins in it, and the end; where each word begins and ends; and the first word of each text, and
+    their number."""
     datas = [(t or "").encode() for t in texts]
-    data = np.frombuffer(b" ".join([b"", *datas, b""]), np.uint8)
-    blank = _BLANK[data]
-    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    data = b" ".join([b"", *datas, b""])
+    blank = _BLANK[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    begins = np.cumsum([1] + [len(d) + 1 for d in datas])
+    return data, begins, starts, ends, np.searchsorted(starts, begins)
+
+
+def flat_hashes(texts: list[str | None], chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all texts' words: polynomials over random numbers for the bytes, from running sums over many bytes at once; and where each text's
+    begin, and the end. Texts are worked through in chunks between words, which fit the processor's cache."""
+    data, _, starts, ends, cuts = word_places(texts)
+    data = np.frombuffer(data, np.uint8)
     out, i = np.zeros(len(starts), np.uint64), 0
     while i < len(starts):
         a = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, a + chunk, "right")))
         n = int(ends[j - 1] - a)
-        up, down = powers(max(chunk, 1 << n.bit_length()))
+        up, down = powers(max(1 << 19, 1 << n.bit_length()))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data[a : a + n]] * up[:n], dtype=np.uint64)])
         s, e = starts[i:j] - a, ends[i:j] - a
         x = (sums[e] - sums[s]) * down[s]
         out[i:j] = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         i = j
-    cuts = np.searchsorted(starts, np.cumsum([1] + [len(d) + 1 for d in datas]))
+    return out, cuts
+
+
+def word_hashes(texts: list[str | None], chunk: int = 1 << 15) -> list[np.ndarray]:
+    """The hashes of each text's words."""
+    out, cuts = flat_hashes(texts, chunk)
     return [out[a:b] for a, b in itertools.pairwise(cuts.tolist())]
 
 
